@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import brown, chat, exact, langid, minhash, mixing, packing, quality, rules
+from . import brown, chat, exact, langid, linedup, minhash, mixing, packing, quality, rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, ("doc_id", "held_out"))
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.deduplicate_lines(table(spark, sf_dir, "documents"), 80)
+
+
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rules.ledger(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -78,7 +82,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality, op2_brown, op3_exact, op4_packing, op5_chat, op6_minhash, op7_langid, op9_rules, op10_mixing]
+    found = [op1_quality, op2_brown, op3_exact, op4_packing, op5_chat, op6_minhash, op7_langid, op8_lines, op9_rules, op10_mixing]
     return {f.__name__: f for f in found}
 
 
