@@ -107,7 +107,7 @@ def features(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return column.values.to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
 @dataclass
