@@ -159,6 +159,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: tuple[st
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which a language is found, all columns; a missing ``lang`` is filled in."""
-    columns = docs.columns
-    found = predict(docs, fit(docs), tuple(columns)).where(F.col("lang_pred") != "und")
-    return found.select(*[F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else F.col(c) for c in columns])
+    own = {c: f"{c}__own" for c in docs.columns}
+    rows = docs.select(*[F.col(c).alias(o) for c, o in own.items()], "text")
+    found = predict(rows, fit(docs), tuple(own.values())).where(F.col("lang_pred") != "und")
+    return found.select(*[F.coalesce(o, "lang_pred").alias(c) if c == "lang" else F.col(o).alias(c) for c, o in own.items()])
