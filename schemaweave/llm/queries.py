@@ -112,13 +112,14 @@ WITH d AS (
          length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
          coalesce(lines.n, 0) AS n_lines, coalesce(lines.dup, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
          len(list_filter(w, lambda x: length(x) > 40)) AS n_long_words,
-         length(text) - length(regexp_replace(text, '[A-Za-z]|[^\x00-\x7F]', '', 'g')) AS n_letters
+         length(text) - length(regexp_replace(text, '[A-Za-z]|[^\x00-\x7F]', '', 'g')) AS n_letters,
+         CAST(coalesce(list_sum(list_transform(range(2, len(w) + 1), lambda i: CAST(w[i] = w[i - 1] AS INTEGER))), 0) AS BIGINT) AS n_stutters
   FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN lines USING (doc_id)
 ), f AS (
   SELECT *, CAST((CASE WHEN n_words < 20 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END)
          + (CASE WHEN 20 * n_symbols > word_chars THEN 4 ELSE 0 END) + (CASE WHEN 10 * n_dup_lines > 3 * n_lines AND n_dup_lines >= 3 THEN 8 ELSE 0 END)
-         + (CASE WHEN word_chars > 12 * n_words THEN 16 ELSE 0 END) + (CASE WHEN 50 * n_long_words > n_words THEN 32 ELSE 0 END)
-         + (CASE WHEN 2 * n_letters < word_chars THEN 64 ELSE 0 END) + (CASE WHEN n_words = 0 THEN 128 ELSE 0 END) AS BIGINT) AS failed FROM m
+         + (CASE WHEN word_chars > 12 * n_words THEN 16 ELSE 0 END) + (CASE WHEN 10 * n_long_words > n_words THEN 32 ELSE 0 END)
+         + (CASE WHEN 2 * n_letters < word_chars THEN 64 ELSE 0 END) + (CASE WHEN n_words = 0 THEN 128 ELSE 0 END) + (CASE WHEN 10 * n_stutters > 3 * n_words THEN 256 ELSE 0 END) AS BIGINT) AS failed FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM f
 """

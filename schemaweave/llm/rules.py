@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .tokens import Words, pieces, repeated, sums_by
 
-MEASURES = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, n_long_words long, n_letters long"
+MEASURES = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, n_long_words long, n_letters long, n_stutters long"
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 LETTER = np.zeros(256, bool)
@@ -44,9 +44,10 @@ RULES = (
     Rule("many_symbols", "20 * n_symbols > word_chars"),
     Rule("repeated_lines", "10 * n_dup_lines > 3 * n_lines AND n_dup_lines >= 3"),
     Rule("long_words", "word_chars > 12 * n_words"),
-    Rule("giant_words", "50 * n_long_words > n_words"),
+    Rule("giant_words", "10 * n_long_words > n_words"),
     Rule("few_letters", "2 * n_letters < word_chars"),
     Rule("no_words", "n_words = 0"),
+    Rule("stutters", "10 * n_stutters > 3 * n_words"),
 )
 
 
@@ -64,7 +65,7 @@ class Policy:
 
 
 BASE = Policy("base-1", ("few_words", "repeated_windows"))
-DEFAULT = Policy("keep-2", tuple(r.name for r in RULES))
+DEFAULT = Policy("keep-3", tuple(r.name for r in RULES))
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +82,9 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chars = np.concatenate([[0], np.cumsum(head)])
         lengths = chars[words.end] - chars[words.start]
         lines, dups = _lines(words, text)
-        columns = [words.count, sums_by(words.first, lengths), sums_by(ends, SYMBOL[data].astype(np.int64)), lines, dups, sums_by(words.first, (np.cumsum(cover)[:-1] > 0).astype(np.int64)), sums_by(words.first, (lengths > LONG_WORD).astype(np.int64)), sums_by(ends, (LETTER[data] & head).astype(np.int64))]
+        again = np.zeros(len(hashes), np.int64)  # words equal to the one before in the same text
+        again[1:] = (hashes[1:] == hashes[:-1]) & (text[1:] == text[:-1])
+        columns = [words.count, sums_by(words.first, lengths), sums_by(ends, SYMBOL[data].astype(np.int64)), lines, dups, sums_by(words.first, (np.cumsum(cover)[:-1] > 0).astype(np.int64)), sums_by(words.first, (lengths > LONG_WORD).astype(np.int64)), sums_by(ends, (LETTER[data] & head).astype(np.int64)), sums_by(words.first, again)]
         keep = [(n, batch.column(n)) for n in batch.schema.names if n != "text"]
         yield pa.RecordBatch.from_arrays([c for _, c in keep] + [pa.array(np.asarray(c, np.int64)) for c in columns], [n for n, _ in keep] + [p.split()[0] for p in MEASURES.split(", ")])
 
