@@ -184,8 +184,8 @@ class Engine:
         return result
 
     def _signature(self, rows: Rows, structure: SourceStructure, n: int) -> tuple[lay.Signature, int]:
-        guard = lay.guard_rows(rows.frame, n)
-        profiles = guarded(lambda: profile(guard, structure.columns, self.detectors, self.config, locations=False))
+        guard = lay.guard_rows(rows.frame, n, rows.ordered)
+        profiles = guarded(lambda: profile(guard, structure.columns, self.detectors, self.config, locations=False, values=False))
         return lay.signature(structure, profiles, self.normalizer), profiles[0].rows if profiles else 0
 
     def create_layout_template(self, given, plan: Plan, id_: str, version: str = "1", options: dict[str, str] | None = None) -> lay.Template:

@@ -105,6 +105,7 @@ class Rows:
     frame: DataFrame
     structure: SourceStructure
     warnings: list[str] = field(default_factory=list)
+    ordered: bool = False  # one task gives all rows in order
 
 
 def check_options(options: dict[str, str], known: set[str]) -> None:

@@ -110,7 +110,7 @@ class CsvReader:
                 except csv.Error:
                     raise coded("CSV_READ_FAILED") from None
 
-            return Rows(parsed(spark, source, width, parse), structure)
+            return Rows(parsed(spark, source, width, parse), structure, ordered=True)
         if charset == "WINDOWS-1252":
             spark.conf.set("spark.sql.legacy.javaCharsets", "true")
         schema = row_schema(width)[2:]

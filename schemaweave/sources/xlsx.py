@@ -268,4 +268,4 @@ class XlsxReader:
                 n += 1
                 yield n, line, cells + [""] * (width - len(cells))
 
-        return Rows(parsed(spark, source, width, parse), structure)
+        return Rows(parsed(spark, source, width, parse), structure, ordered=True)
