@@ -187,7 +187,21 @@ def numeric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.groupBy(F.col("column").alias("column_name")).agg(F.count("*").alias("n"), F.round(mean, 4).alias("mean"), F.round(F.var_pop("number") / mean / mean, 6).alias("relative_variance"), F.min("number").alias("low"), F.max("number").alias("high"))
 
 
-@query()
+# wrapping multiplication modulo 2**64 in two halves
+WRAP = "(((({h} >> 32) * {m}) % 4294967296) * 4294967296 + ({h} % 4294967296) * {m}) % 18446744073709551616"
+
+
+@query(f"""
+WITH x AS (SELECT DISTINCT 'o_custkey' AS col, CAST(o_custkey AS VARCHAR) AS v FROM orders UNION SELECT 'o_orderpriority', o_orderpriority FROM orders),
+h0 AS (SELECT col, list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(v, ''), lambda c: CAST(unicode(c) AS HUGEINT))), lambda a, c: xor(a, c) * 1099511628211 % 18446744073709551616) AS h FROM x),
+h1 AS (SELECT col, xor(h, h >> 33) AS h FROM h0), h2 AS (SELECT col, {WRAP.format(h="h", m="18397679294719823053::HUGEINT")} AS h FROM h1),
+h3 AS (SELECT col, xor(h, h >> 33) AS h FROM h2), h4 AS (SELECT col, {WRAP.format(h="h", m="14181476777654086739::HUGEINT")} AS h FROM h3),
+h5 AS (SELECT col, xor(h, h >> 33) AS h FROM h4),
+r AS (SELECT col, h >> 54 AS idx, max(CASE WHEN h % 18014398509481984 = 0 THEN 55 ELSE 64 - length(bin(CAST((h % 18014398509481984) * 1024 AS UBIGINT))) + 1 END) AS rnk FROM h5 GROUP BY ALL),
+s AS (SELECT col, sum(pow(2.0, -rnk)) AS s, count(*) AS used FROM r GROUP BY col),
+e AS (SELECT col, used, 0.7213 / (1 + 1.079 / 1024) * 1024 * 1024 / (s + (1024 - used)) AS raw FROM s)
+SELECT col AS column_name, CAST(round(CASE WHEN raw <= 2560 AND used < 1024 THEN 1024 * ln(1024.0 / (1024 - used)) ELSE raw END) AS BIGINT) AS estimate FROM e
+""")
 def hll_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_number"), F.col("o_custkey").cast("string").alias("o_custkey"), "o_orderpriority")
     cells = prof.unpivot(rows, ["o_custkey", "o_orderpriority"])
@@ -310,6 +324,36 @@ SELECT p.k, round(coalesce(dot, 0) / sqrt((SELECT sum(n * n) FROM a WHERE a.k =
 """
 
 
+JARO_SQL = """
+WITH RECURSIVE p AS (SELECT k, {x} AS a, {y} AS b, greatest(0, greatest(length({x}), length({y})) // 2 - 1) AS reach FROM ({pairs})),
+m(k, a, b, reach, i, taken, lefts) AS (
+  SELECT k, a, b, reach, 1::BIGINT, repeat('0', length(b)), '' FROM p
+  UNION ALL SELECT k, a, b, reach, i + 1, CASE WHEN j IS NULL THEN taken ELSE substr(taken, 1, j - 1) || '1' || substr(taken, j + 1) END, CASE WHEN j IS NULL THEN lefts ELSE lefts || substr(a, i, 1) END
+  FROM (SELECT *, list_filter(range(greatest(1, i - reach), least(length(b), i + reach) + 1), lambda q: substr(b, q, 1) = substr(a, i, 1) AND substr(taken, q, 1) = '0')[1] AS j FROM m WHERE i <= length(a))
+), f AS (
+  SELECT k, a, b, lefts, array_to_string(list_transform(list_filter(range(1, length(b) + 1), lambda q: substr(taken, q, 1) = '1'), lambda q: substr(b, q, 1)), '') AS rights FROM m WHERE i = length(a) + 1
+), t AS (
+  SELECT k, a, b, CAST(length(lefts) AS DOUBLE) AS n, len(list_filter(range(1, length(lefts) + 1), lambda q: substr(lefts, q, 1) <> substr(rights, q, 1))) / 2 AS half FROM f
+), jaro AS (
+  SELECT k, a, b, CASE WHEN a = b THEN 1.0 WHEN n = 0 THEN 0.0 ELSE (n / length(a) + n / length(b) + (n - half) / n) / 3.0 END AS j FROM t
+), jw AS (
+  SELECT k, j, CASE WHEN j < 0.7 THEN j ELSE j + len(list_filter(range(1, 5), lambda q: length(a) >= q AND length(b) >= q AND substr(a, 1, q) = substr(b, 1, q))) * 0.1 * (1.0 - j) END AS w FROM jaro
+)
+"""
+SQL["jaro"] = JARO_SQL.format(x="x", y="y", pairs=NAMES_SQL) + "SELECT k, round(j, 9) AS value FROM jw"
+SQL["jaro_winkler"] = JARO_SQL.format(x="x", y="y", pairs=NAMES_SQL) + "SELECT k, round(w, 9) AS value FROM jw"
+CX, CY = "replace(x, ' ', '')", "replace(y, ' ', '')"
+CGX, CGY = GRAMS.format(x=CX), GRAMS.format(x=CY)
+SQL["lexical_score"] = JARO_SQL.format(x=CX, y=CY, pairs=NAMES_SQL) + f"""
+, n AS ({NAMES_SQL}), ga AS (SELECT k, g, count(*) AS c FROM (SELECT k, unnest({CGX}) AS g FROM n) GROUP BY k, g), gb AS (SELECT k, g, count(*) AS c FROM (SELECT k, unnest({CGY}) AS g FROM n) GROUP BY k, g),
+dot AS (SELECT ga.k, sum(ga.c * gb.c) AS d FROM ga JOIN gb ON ga.k = gb.k AND ga.g = gb.g GROUP BY ga.k), na AS (SELECT k, sum(c * c) AS q FROM ga GROUP BY k), nb AS (SELECT k, sum(c * c) AS q FROM gb GROUP BY k),
+z AS (SELECT n.k, CAST(len(list_intersect({TX}, {TY})) AS DOUBLE) AS common, len({TX}) AS tx, len({TY}) AS ty, CASE WHEN {CX} = {CY} THEN 1.0 ELSE CAST(1.0 AS DOUBLE) - CAST(levenshtein({CX}, {CY}) AS DOUBLE) / greatest(length({CX}), length({CY})) END AS lev, j, w,
+  CAST(2.0 * len(list_intersect(list_distinct({CGX}), list_distinct({CGY}))) AS DOUBLE) / (len(list_distinct({CGX})) + len(list_distinct({CGY}))) AS tri, coalesce(d, 0) / sqrt(na.q * nb.q) AS cosine
+  FROM n JOIN jw ON jw.k = n.k JOIN na ON na.k = n.k JOIN nb ON nb.k = n.k LEFT JOIN dot ON dot.k = n.k)
+SELECT k, round(0.4 * (4 * common / (tx + ty) + common / (tx + ty - common)) / 3 + 0.35 * (lev + j + w) / 3 + 0.25 * (tri + cosine) / 2, 9) AS value FROM z
+"""
+
+
 @query(f"SELECT k, round((CAST(2.0 * len(list_intersect({TX}, {TY})) / (len({TX}) + len({TY})) AS DOUBLE) + CASE WHEN x = y THEN 1.0 ELSE CAST(1.0 AS DOUBLE) - CAST(levenshtein(replace(x, ' ', ''), replace(y, ' ', '')) AS DOUBLE) / greatest(length(replace(x, ' ', '')), length(replace(y, ' ', ''))) END) / 2, 9) AS value FROM ({NAMES_SQL})")
 def baseline_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     squeeze = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
