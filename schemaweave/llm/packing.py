@@ -31,10 +31,12 @@ from pyspark.sql import functions as F
 from .tokens import pieces
 
 POOL = 512
-CACHE = 400_000
+WORDS, PARTS_KEPT = 500_000, 250_000  # entries of the caches in a worker, about 150 MB
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: The splitting pattern of the vocabulary file for lower-case ASCII words: a fixed value.
-PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+SIMPLE = re.compile(f"[\x21-\x7e{LATIN}]*")
+#: The splitting pattern of the vocabulary file, for lower-case ASCII and Latin letters: a fixed value.
+PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^a-z0-9{LATIN}]+")
 
 
 @dataclass(frozen=True)
@@ -46,46 +48,67 @@ class Limits:
     loss_tokens: int = 2048
 
 
+def _byte_names() -> list[str]:
+    """How byte-level vocabularies write bytes: printable Latin-1 as itself, all others from code point 256 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
 class WordTokenizer:
-    """Encodes texts word by word with caches; equal to encoding the whole text, as no token spans white space."""
+    """Encodes texts word by word with caches; equal to encoding the whole text, as no token spans white space.
+
+    Words of printable ASCII and Latin letters are split here and go straight to the merges; the vocabulary's own
+    normalisation and splitting are applied to all others.
+    """
+
+    loaded: dict[str, WordTokenizer] = {}
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        self.merge = self.model.model.tokenize
+        self.names = _byte_names()
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+    @classmethod
+    def get(cls, path: str) -> WordTokenizer:
+        """One for each worker process, so that tasks share the caches."""
+        if path not in cls.loaded:
+            cls.loaded[path] = cls(path)
+        return cls.loaded[path]
+
+    def _part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            text = part if part.isascii() else "".join([self.names[b] for b in part.encode()])
+            found = self.parts[part] = np.array([t.id for t in self.merge(text)], "<u4").tobytes()
+        return found
 
     def learn(self, words: set[bytes]) -> None:
-        for cache in (self.words, self.parts):
-            if len(cache) > CACHE:
-                cache.clear()
-        plain, other = {}, []
+        other = []
         for word in words:
-            if word.isascii() and b"<|" not in word:
-                plain[word] = PARTS.findall(word.lower().decode())
+            text = word.decode()
+            low = text.lower()
+            if SIMPLE.fullmatch(text) and SIMPLE.fullmatch(low) and "<|" not in text:
+                self.words[word] = b"".join([self._part(p) for p in PARTS.findall(low)])
             else:
-                other.append(word)
-        new = list({p for found in plain.values() for p in found if p not in self.parts})
-        self.parts.update(zip(new, self._encode(new), strict=True))
-        self.words.update(zip(other, self._encode([w.decode() for w in other]), strict=True))
-        for word, found in plain.items():
-            self.words[word] = b"".join([self.parts[p] for p in found])
+                other.append((word, text))
+        if other:
+            for (word, _), e in zip(other, self.model.encode_batch_fast([t for _, t in other], add_special_tokens=False), strict=True):
+                self.words[word] = np.asarray(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
+        for cache, most in ((self.words, WORDS), (self.parts, PARTS_KEPT)):
+            if len(cache) > most:
+                cache.clear()
         split = [t.split() for t in texts]
-        have = self.words
-        missing = {w for ws in split for w in ws if w not in have}
-        if missing or len(have) > CACHE:
-            if len(have) > CACHE:
-                missing = {w for ws in split for w in ws}
-            self.learn(missing)
-        get = have.__getitem__
+        self.learn(set().union(*split).difference(self.words))
+        get = self.words.__getitem__
         for ws in split:
             yield b"".join(map(get, ws))
 
@@ -188,7 +211,7 @@ def pack(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(), end_id
     types = [pa.int64()] * 7 + [pa.binary()] * emit_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, tokenizer = Packer(limits, TaskContext.get().partitionId() << 40, emit_ids), WordTokenizer(tokenizer_path)
+        packer, tokenizer = Packer(limits, TaskContext.get().partitionId() << 40, emit_ids), WordTokenizer.get(tokenizer_path)
 
         def rows() -> pa.RecordBatch:
             columns = list(zip(*packer.drain(), strict=True)) or [()] * 8
