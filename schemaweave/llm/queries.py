@@ -157,4 +157,61 @@ SELECT doc_id, size, source_size, target, whole * size + greatest(0, least(size,
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact": SQL_OP3, "op9_rules": SQL_OP9, "op10_mixing": SQL_OP10}
+    return {"op3_exact": SQL_OP3, "op5_chat": SQL_OP5, "op6_minhash": SQL_OP6, "op8_lines": SQL_OP8, "op9_rules": SQL_OP9, "op10_mixing": SQL_OP10}
+SQL_OP5 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+), n AS (
+  SELECT *, length(text) + length(text) - length(replace(text, '\', '')) + len(list_filter(range(1, length(text) - 1), lambda i: substr(text, i, 3) = '###')) + len(list_filter(range(1, length(text) - 5), lambda i: substr(text, i, 7) = '</turn>')) AS text_chars,
+    length(role) + length(role) - length(replace(replace(role, '\', ''), ':', '')) + len(list_filter(range(1, length(role) - 1), lambda i: substr(role, i, 3) = '###')) + len(list_filter(range(1, length(role) - 5), lambda i: substr(role, i, 7) = '</turn>')) AS role_chars
+  FROM t
+)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(role_chars + text_chars + 15) AS BIGINT) AS formatted_chars
+FROM n GROUP BY conv_id
+"""
+
+SQL_OP6 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT a, b FROM l JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)
+), u AS (
+  SELECT a, b FROM e UNION SELECT b, a FROM e
+), r(doc_id, seen) AS (
+  SELECT a, b FROM u UNION SELECT r.doc_id, u.b FROM r JOIN u ON u.a = r.seen
+), c AS (
+  SELECT doc_id, min(seen) AS low FROM r GROUP BY doc_id
+)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(low, w.doc_id)) AS component_id, least(w.doc_id, coalesce(low, w.doc_id)) = w.doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+SQL_OP8 = r"""
+WITH x AS (
+  SELECT doc_id, line_no, regexp_extract_all(lower(lines[line_no]), '[^\x20\x09-\x0D]+') AS w
+  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL))
+), t AS (
+  SELECT doc_id, line_no, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM x WHERE len(w) > 0
+), f AS (
+  SELECT s, min({'d': doc_id, 'l': line_no}) AS first, row_number() OVER (ORDER BY min({'d': doc_id, 'l': line_no})) AS k FROM t GROUP BY s
+), g AS (
+  SELECT k, len(s) AS n, unnest(s) AS g FROM f
+), m AS (
+  SELECT DISTINCT b FROM (SELECT x.k AS a, y.k AS b, count(*) AS common, any_value(x.n + y.n) AS n FROM g x JOIN g y ON x.g = y.g AND x.k < y.k GROUP BY 1, 2) WHERE 100 * common >= 80 * (n - common)
+), o AS (
+  SELECT t.doc_id, first <> {'d': t.doc_id, 'l': line_no} AS exact, m.b IS NOT NULL AS near FROM t JOIN f USING (s) LEFT JOIN m ON m.b = f.k
+)
+SELECT d.doc_id, count(exact) AS n_lines, count(*) FILTER (exact) AS n_exact, count(*) FILTER (NOT exact AND near) AS n_near, count(*) FILTER (NOT exact AND NOT near) AS n_left
+FROM documents d LEFT JOIN o USING (doc_id) GROUP BY d.doc_id
+"""
+
+
