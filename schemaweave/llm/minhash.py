@@ -145,14 +145,15 @@ def components(links: DataFrame) -> DataFrame:
     links = stash(links.select("a", "b").where("a <> b").distinct(), "links")
     labels = stash(links.select(F.col("a").alias("id")).union(links.select("b")).distinct().withColumn("component", F.col("id")), "labels")
     while links.limit(1).count():
-        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = stash(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("up")), "parents")
         for _ in range(2):
             above = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            parent = stash(parent.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up")), "parents")
+            parent = parent.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"))
+        parent = stash(parent, "parents")
         rename = lambda df, c: df.join(parent.select(F.col("node").alias(c), F.col("up").alias("up_")), c, "left").withColumn(c, F.coalesce("up_", c)).drop("up_")  # noqa: E731, B023
         labels = stash(rename(labels, "component"), "labels")
-        links = stash(rename(rename(links, "a"), "b").where("a <> b").distinct(), "links")
+        links = stash(rename(rename(links, "a"), "b").select("a", "b").where("a <> b").distinct(), "links")
     return labels
 
 
@@ -165,8 +166,8 @@ def _apart(threshold: int) -> Column:
     return 100 * F.least("size", "size_b") >= threshold * F.greatest("size", "size_b")
 
 
-def links(sketched: DataFrame, docs: DataFrame, threshold: int = 85) -> DataFrame:
-    """Verified pairs (a, b) of representatives that span all components of the similarity graph."""
+def links(sketched: DataFrame, docs: DataFrame, threshold: int = 85) -> tuple[DataFrame, DataFrame]:
+    """Verified pairs (a, b) of representatives that span all components of the similarity graph, and the components."""
     spark = docs.sparkSession
     reps = sketched.where("digest IS NOT NULL").groupBy("digest").agg(F.min_by(F.struct("id", "size", "bands"), "id").alias("r")).select("r.*")
     dealt = reps.select("id", "size", F.posexplode("bands").alias("band", "key")).select("id", "size", F.xxhash64("band", "key").alias("bucket"))
@@ -206,14 +207,14 @@ def links(sketched: DataFrame, docs: DataFrame, threshold: int = 85) -> DataFram
             current = stash(_labelled(members, labels), "members")
         if last:
             break
-    return found
+    return found, labels
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
     """id (the row's key), doc_id, n_shingles, component_id, kept for every row."""
     spark = docs.sparkSession
     sketched = stash(sketch(docs), "sketches")
-    labels = components(links(sketched, docs, threshold))
+    _, labels = links(sketched, docs, threshold)
     rows = sketched.select("id", "doc_id", "size", "digest").withColumn("salt", F.pmod(F.xxhash64("doc_id", "id"), F.lit(shuffle_partitions(spark))))
     parts = rows.where("digest IS NOT NULL").groupBy("digest", "salt").agg(F.min("id").alias("id"), F.min("doc_id").alias("low"))
     classes = stash(parts.groupBy("digest").agg(F.min("id").alias("id"), F.min("low").alias("low")).join(labels, "id", "left").select("digest", "low", F.coalesce("component", "id").alias("component")), "classes")
