@@ -10,37 +10,42 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from schemaweave.llm import exact, langid, minhash, mixing, packing
-from schemaweave.llm.store import stash
+from schemaweave.llm.store import bound_batches, stash
 from schemaweave.session import ship
 
 
+def _ready(spark: SparkSession) -> None:
+    ship(spark)
+    bound_batches(spark)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which no language is found."""
-    ship(spark)
+    _ready(spark)
     return langid.keep_identified(docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the smallest doc_id stays."""
-    ship(spark)
+    _ready(spark)
     return exact.keep_first(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (Jaccard similarity of word 5-shingles from 0.85, linked) the smallest doc_id stays."""
-    ship(spark)
+    _ready(spark)
     return minhash.keep_one(docs, 85)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mix of sources takes them."""
-    ship(spark)
+    _ready(spark)
     return mixing.repeat(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 2048 tokens."""
-    ship(spark)
+    _ready(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from . import brown, chat, exact, langid, linedup, minhash, mixing, packing, quality, rules
+from .store import bound_batches, stash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -23,7 +25,7 @@ def fold(n: int) -> F.Column:
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", fold(3) == 1)
-    stats = quality.stash(quality.features(docs, ("doc_id", "held_out")), "stats")
+    stats = stash(quality.features(docs, ("doc_id", "held_out")), "stats")
     model = quality.fit(stats, table(spark, sf_dir, "labels"), ~F.col("held_out"))
     scored = quality.score(stats, model, ("doc_id", "held_out"))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -156,8 +158,6 @@ SELECT doc_id, size, source_size, target, whole * size + greatest(0, least(size,
 """
 
 
-def oracle_sql() -> dict[str, str]:
-    return {"op3_exact": SQL_OP3, "op5_chat": SQL_OP5, "op6_minhash": SQL_OP6, "op8_lines": SQL_OP8, "op9_rules": SQL_OP9, "op10_mixing": SQL_OP10}
 SQL_OP5 = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -215,3 +215,5 @@ FROM documents d LEFT JOIN o USING (doc_id) GROUP BY d.doc_id
 """
 
 
+def oracle_sql() -> dict[str, str]:
+    return {"op3_exact": SQL_OP3, "op5_chat": SQL_OP5, "op6_minhash": SQL_OP6, "op8_lines": SQL_OP8, "op9_rules": SQL_OP9, "op10_mixing": SQL_OP10}

@@ -33,3 +33,12 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker gets at once: ten thousand long texts, Spark's own bound, can fill its memory."""
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
