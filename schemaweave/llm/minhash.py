@@ -8,9 +8,10 @@ of independent trials. ``ROWS`` bins make a band; texts that agree in a band are
 0.85 meet in none of the 32 bands of 5 with a chance of 7e-9.
 
 Equal sets are first reduced to one representative. In each bucket (texts that agree in a band) all members are
-compared with a few leaders, drawn by hash, on their full sets, and linked texts are merged. Only members of the same bucket which
-are still in different components are then compared with each other, so every candidate pair is either verified, cut off by
-the length filter (which is exact), or already known to be connected; a group of n near copies costs about n comparisons.
+compared with a leader, drawn by hash from one of a few families, on their full sets, and linked texts are merged. Members of
+buckets in which several components are left then meet in an exact prefix join: their tokens ordered by rarity, with length and
+positional filters. So every candidate pair is either verified, cut off by an exact filter, or already known to be
+connected; a group of n near copies costs about n comparisons.
 
 A row is known by the hash of its doc_id and text, so ids may repeat. Defined results: null and blank texts have an
 empty set and link with nothing; a null doc_id is never the smallest of its component, and where all are null the
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .exact import row_key
@@ -36,7 +37,6 @@ WIDTH = 5
 BANDS, ROWS = 32, 5
 COORDINATES = BANDS * ROWS
 LEADERS = 3
-MOST_ROUNDS = 3
 BROADCAST_IDS = 1_000_000
 
 
@@ -166,48 +166,65 @@ def _apart(threshold: int) -> Column:
     return 100 * F.least("size", "size_b") >= threshold * F.greatest("size", "size_b")
 
 
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches, "text"):
+        sets = shingles(batch.column("text"))
+        ids = np.repeat(batch.column("id").to_numpy(), [len(s) for s in sets])
+        tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(tokens.view(np.int64))], ["id", "token"])
+
+
+def rare_pairs(members: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of members in different components that may be similar: an exact prefix filter.
+
+    Tokens are ordered by rarity; similar sets share one in their prefixes. Copies that differ too much from all others
+    have many tokens of their own, which come first and match nothing. ``members``: id, size, component.
+    """
+    tokens = stash(texts.mapInArrow(_explode, "id long, token long"), "member-tokens")
+    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    mine = Window.partitionBy("id")
+    place = F.row_number().over(mine.orderBy("df", "token")) - F.count("*").over(mine)
+    known = tokens.join(shared, "token").withColumn("late", place).join(members, "id").withColumn("pos", F.col("size") + F.col("late"))
+    prefix = F.col("size") - F.ceil(F.col("size") * threshold / F.lit(100.0)) + 1
+    postings = stash(known.where(F.col("pos") <= prefix).select("token", "id", "size", "component", "pos"), "member-prefixes")
+    other = postings.select("token", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"), F.col("pos").alias("pos_b"))
+    room = (1 + F.least(F.col("size") - F.col("pos"), F.col("size_b") - F.col("pos_b"))) * (100 + threshold) >= threshold * (F.col("size") + F.col("size_b"))
+    pairs = postings.join(other, "token").where((F.col("id") > F.col("b")) & (F.col("component") != F.col("component_b")) & _apart(threshold) & room)
+    return pairs.select(F.col("id").alias("a"), "b").distinct()
+
+
 def links(sketched: DataFrame, docs: DataFrame, threshold: int = 85) -> tuple[DataFrame, DataFrame]:
     """Verified pairs (a, b) of representatives that span all components of the similarity graph, and the components."""
-    spark = docs.sparkSession
     reps = sketched.where("digest IS NOT NULL").groupBy("digest").agg(F.min_by(F.struct("id", "size", "bands"), "id").alias("r")).select("r.*")
     dealt = reps.select("id", "size", F.posexplode("bands").alias("band", "key")).select("id", "size", F.xxhash64("band", "key").alias("bucket"))
     shared = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = stash(dealt.join(shared, "bucket"), "bucket-members")
-    found = spark.createDataFrame([], "a long, b long")
-    done = spark.createDataFrame([], "a long, b long")
-    labels = spark.createDataFrame([], "id long, component long")
-    current = members.withColumn("component", F.col("id"))
-    for step in range(MOST_ROUNDS + 1):
-        counts = current.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("parts")).where("parts > 1")
-        total = counts.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")).first()
-        if not total.n:
-            break
-        mixed = current.join(counts.select("bucket"), "bucket")
-        if step and (total.pairs <= 2 * total.n or step == MOST_ROUNDS):
-            other = mixed.select("bucket", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"))
-            pairs = mixed.join(other, "bucket").where((F.col("id") > F.col("b")) & (F.col("component") != F.col("component_b")) & _apart(threshold))
-            last = True
-        else:
-            # the family of leaders goes with the bucket, so members of one group meet few different leaders
-            family = F.pmod(F.col("bucket"), F.lit(LEADERS)) + step * LEADERS
-            leader = mixed.groupBy("bucket").agg(F.min_by(F.struct(F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b")), F.xxhash64(family, "id")).alias("l")).select("bucket", "l.*")
-            pairs = mixed.join(leader, "bucket").where((F.col("id") != F.col("b")) & (F.col("component") != F.col("component_b")) & _apart(threshold))
-            last = False
-        pairs = pairs.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-        pairs = stash(pairs.join(done, ["a", "b"], "left_anti") if step else pairs, "pairs")
-        n = pairs.count()
-        if n:
-            ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-            rows = docs.select(row_key().alias("id"), "text").join(_hint(ids, 2 * n), "id")
-            texts = stash(rows.dropDuplicates(["id"]), "pair-texts")
-            new = stash(verify(pairs, texts, threshold), "verified")
-            found = found.union(new)
-            done = done.union(pairs)
-            labels = components(found)
-            current = stash(_labelled(members, labels), "members")
-        if last:
-            break
-    return found, labels
+    # the family of leaders goes with the bucket, so members of one group meet few different leaders
+    family = F.pmod(F.col("bucket"), F.lit(LEADERS))
+    leader = members.groupBy("bucket").agg(F.min_by(F.struct(F.col("id").alias("b"), F.col("size").alias("size_b")), F.xxhash64(family, "id")).alias("l")).select("bucket", "l.*")
+    pairs = members.join(leader, "bucket").where((F.col("id") != F.col("b")) & _apart(threshold))
+    pairs = stash(pairs.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct(), "pairs")
+    found = stash(verify(pairs, _texts(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b"))), threshold), "verified")
+    labels = components(found)
+    # of buckets with at least three members, those in which several components are left
+    current = _labelled(members, labels)
+    mixed = current.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("n > 2 AND low < high").select("bucket")
+    open_ = stash(current.join(mixed, "bucket").select("id", "size", "component").distinct(), "open")
+    if not open_.limit(1).count():
+        return found, labels
+    texts = _texts(docs, open_.select("id"))
+    more = stash(verify(stash(rare_pairs(open_, texts, threshold), "pairs"), texts, threshold), "verified")
+    if not more.limit(1).count():
+        return found, labels
+    found = found.union(more)
+    return found, components(found)
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, text of the wanted rows, one for each id."""
+    ids = stash(ids.distinct(), "wanted")
+    rows = docs.select(row_key().alias("id"), "text").join(_hint(ids, ids.count()), "id")
+    return stash(rows.dropDuplicates(["id"]), "pair-texts")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
