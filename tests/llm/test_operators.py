@@ -217,6 +217,26 @@ def test_line_dedup_of_large_groups(spark):
     assert {r.doc_id: (r.exact, r.near) for r in got} == want
 
 
+def test_lines_by_distinct_words(spark):
+    """One changed word in a short line: the word sets stay similar, windows of five words do not."""
+    rng = random.Random(12)
+    data = []
+    for k in range(40):
+        w = [f"w{rng.randint(0, 25)}" for _ in range(rng.randint(1, 30))]
+        near = list(w)
+        near[rng.randrange(len(w))] = f"x{k}"
+        data += [(3 * k, " ".join(w)), (3 * k + 1, " ".join(near)), (3 * k + 2, " ".join(reversed(w)))]
+    sets = [frozenset(t.split(" ")) for _, t in data]
+    want = {}
+    for k, s in enumerate(sets):
+        same = s in sets[:k]
+        want[k] = (same, not same and any(5 * len(s & t) >= 4 * len(s | t) for t in sets[:k]))
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    assert sum(near for _, near in want.values()) > 10
+    assert {r.doc_id: (r.exact, r.near) for r in linedup.duplicate_lines(frame, 80, width=1).collect()} == want
+    assert "op8_line_words" in queries.queries()
+
+
 def test_mix_reaches_targets(docs):
     got = mixing.mix(docs)
     rs = got.collect()
