@@ -415,6 +415,33 @@ def test_transition_and_emission_sum_to_one(docs):
     assert np.allclose(sums[np.bincount(model.classes, minlength=brown.CLASSES) > 0], 1)
 
 
+def test_every_word_has_a_class_of_its_own(spark, monkeypatch):
+    """Words beyond the top ones go by their contexts, not by their endings; scores do not depend on what is broadcast."""
+    rng = random.Random(8)
+    nouns, verbs = [f"n{k}zzz" for k in range(60)], [f"v{k}zzz" for k in range(60)]  # one ending for all
+    data = [(k, " ".join(x for _ in range(12) for x in ("the", rng.choice(nouns), "will", rng.choice(verbs)))) for k in range(150)]
+    data += [(900, "the n1zzz once1zzz once2zzz v1zzz unseen"), (901, "")]
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    monkeypatch.setattr(brown, "TOP", 20)
+    model, vocabulary = brown.fit(frame.where("doc_id < 901"))
+    scores = {r.doc_id: r.score for r in brown.score(frame, model, vocabulary).collect()}
+    found = Counter(r["class"] for r in vocabulary.where("class IS NOT NULL").collect())
+    assert sum(found.values()) >= 100 and len(found) >= 2
+    assert vocabulary.where("n < 3 AND class IS NOT NULL").count() == 0
+    right, wrong = [("the n3zzz will v4zzz " * 5).strip(), ("the v4zzz will n3zzz " * 5).strip()]
+    both = brown.score(spark.createDataFrame([(1, right), (2, wrong)], "doc_id long, text string"), model, vocabulary)
+    both = {r.doc_id: r.score for r in both.collect()}
+    assert both[1] > both[2] + 5
+    monkeypatch.setattr(brown, "FREQUENT", 70)
+    few, words = brown.fit(frame.where("doc_id < 901"))
+    assert len(few.types.hashes) <= 70 < len(model.types.hashes)
+    assert np.isclose(10**few.emit @ (few.classes >= 0), len(set(few.classes)))
+    got = brown.score(frame, few, words).collect()
+    assert {r["hash"]: r["class"] for r in words.collect()} == {r["hash"]: r["class"] for r in vocabulary.collect()}
+    assert np.allclose(few.step, model.step)  # transitions over the join are those over the broadcast table
+    assert all(abs(r.score - scores[r.doc_id]) < 0.05 * abs(scores[r.doc_id]) for r in got)
+
+
 def test_exchange_finds_alternating_classes():
     rng = np.random.default_rng(1)
     left = rng.integers(0, 10, 4000)
