@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from schemaweave import catalog
 from schemaweave.functions import decimals, detectors, sketches
 from schemaweave.functions import similarity as sim
 from schemaweave.functions import text as t
@@ -99,3 +100,10 @@ def test_sketch_is_close_and_mergeable(spark):
 )
 def test_exact_decimals(operation, values, locale, want):
     assert decimals.fold(operation, values, locale) == want
+
+
+def test_redaction_keeps_every_row(spark, tmp_path):
+    values = [None, "", "plain", "a😀b", "😀" * 3, "ÀÉ"]
+    spark.createDataFrame(list(enumerate(values)), "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in catalog.redaction(spark, str(tmp_path)).collect()}
+    assert got == {k: f"<redacted:length={len((v or '').encode('utf-16-le')) // 2}>" for k, v in enumerate(values)}
