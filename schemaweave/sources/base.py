@@ -11,6 +11,7 @@ import re
 import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.errors import PySparkException
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 from ..functions.headers import HeaderNormalizer
 from ..model import EngineError, InvalidSource, Limits, SourceColumn, SourceStructure, redacted
 
-#: Files up to this size are parsed by one task that sees every record and line; larger ones by Spark's own reader.
+#: Files up to this size are parsed at once; larger ones line by line, or by Spark's own reader.
 WHOLE_BYTES = 64 << 20
 NUMBER = re.compile(r"[-+]?\d+(?:[.,]\d+)?")
 CODED = re.compile(r"SW\[([A-Z_]+)\]")
@@ -173,6 +174,19 @@ def parsed(spark: SparkSession, source: Source, width: int, parse) -> DataFrame:
     return source._frame(spark).select("content").mapInArrow(run, row_schema(width))
 
 
+def streamed(spark: SparkSession, source: Source, width: int, parse) -> DataFrame:
+    """As ``parsed`` for files of any size: one task gets the lines in order; ``parse`` takes an iterator of their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = ((path, data.as_py()) for found in batches for path, data in zip(found.column("path").to_pylist(), found.column("line"), strict=True))
+        for _, own in groupby(lines, key=lambda x: x[0]):
+            yield from batches_of(parse(data + b"\n" for _, data in own), width)
+
+    lines = spark.read.option("lineSep", "\n").text(source.path)
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("line"))
+    return lines.coalesce(1).sortWithinPartitions("path", "start", "at").select("path", "line").mapInArrow(run, row_schema(width))
+
+
 def number_rows(frame: DataFrame, first: int = 1) -> DataFrame:
     """Adds consecutive record numbers in the order of the frame's partitions; only counts reach the driver."""
     marked = frame.withColumn("part__", F.spark_partition_id()).withColumn("at__", F.monotonically_increasing_id())

@@ -1,22 +1,25 @@
 """Delimited text: detection on a bounded preview, then a scan.
 
-Files up to ``WHOLE_BYTES`` are parsed with full fidelity (record numbers that count the header, physical lines, blank
-lines as records). Larger files go through Spark's splittable reader: physical lines are unknown there, blank lines
-are skipped and quoted line breaks need the option ``multiline``.
+Files are parsed with full fidelity (record numbers that count the header, physical lines, blank lines as records): up to
+``WHOLE_BYTES`` at once, larger ones line by line in one task, since a line break may stand inside quotes. The option
+``multiline=false``, for files without quoted line breaks, sends large files through Spark's splittable reader:
+physical lines are unknown there and blank lines are skipped.
 """
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import cell
 from ..model import EngineError, InvalidSource, Limits, SourceStructure
-from .base import WHOLE_BYTES, Rows, Source, check_options, coded, columns_of, header_row, number_rows, parsed, row_schema
+from .base import WHOLE_BYTES, Rows, Source, check_options, coded, columns_of, header_row, number_rows, parsed, row_schema, streamed
 
 CHARSETS = {"UTF-8": "utf-8-sig", "ISO-8859-1": "latin-1", "WINDOWS-1252": "cp1252"}
 DELIMITERS = (",", ";", "\t", "|")
@@ -24,16 +27,20 @@ OPTIONS = {"charset", "delimiter", "header", "multiline"}
 SAMPLE = 12
 
 
-def _records(text: str, delimiter: str):
+def _records(texts: Iterable[str], delimiter: str):
     """(end line, values) of all records; an empty line is a record of one empty field."""
-    reader = csv.reader(io.StringIO(text, newline=""), delimiter=delimiter, quotechar='"', doublequote=True, strict=True)
+    lines = (line for text in texts for line in io.StringIO(text, newline=""))
+    reader = csv.reader(lines, delimiter=delimiter, quotechar='"', doublequote=True, strict=True)
     for values in reader:
         yield reader.line_num, values or [""]
 
 
-def _decode(data: bytes, charset: str) -> str:
+def _decode(chunks: Iterable[bytes], charset: str) -> Iterator[str]:
+    decoder = codecs.getincrementaldecoder(CHARSETS[charset])()
     try:
-        return data.decode(CHARSETS[charset])
+        for data in chunks:
+            yield decoder.decode(data)
+        yield decoder.decode(b"", final=True)
     except UnicodeDecodeError:
         raise coded("CSV_READ_FAILED") from None
 
@@ -50,7 +57,7 @@ class CsvReader:
     def _preview(head: bytes, charset: str, delimiter: str, n: int) -> list[list[str]]:
         text, out = head.decode(CHARSETS[charset], "replace"), []
         try:
-            for _, values in _records(text, delimiter):
+            for _, values in _records([text], delimiter):
                 out.append(values)
                 if len(out) >= n:
                     break
@@ -94,12 +101,13 @@ class CsvReader:
     def open(self, spark: SparkSession, source: Source, structure: SourceStructure, options: dict[str, str], limits: Limits) -> Rows:
         width, charset, delimiter, header = len(structure.columns), structure.charset, structure.delimiter, structure.header_present
         longest = limits.max_field_chars
-        if source.size(spark) <= WHOLE_BYTES:
+        large = source.size(spark) > WHOLE_BYTES
+        if not large or options.get("multiline", "true").lower() != "false":
 
-            def parse(data: bytes):
+            def parse(chunks: Iterable[bytes]):
                 csv.field_size_limit(longest * 4)
                 try:
-                    for k, (line, values) in enumerate(_records(_decode(data, charset), delimiter)):
+                    for k, (line, values) in enumerate(_records(_decode(chunks, charset), delimiter)):
                         if k == 0 and header:
                             continue
                         if len(values) != width:
@@ -110,7 +118,8 @@ class CsvReader:
                 except csv.Error:
                     raise coded("CSV_READ_FAILED") from None
 
-            return Rows(parsed(spark, source, width, parse), structure, ordered=True)
+            frame = streamed(spark, source, width, parse) if large else parsed(spark, source, width, lambda data: parse([data]))
+            return Rows(frame, structure, ordered=True)
         if charset == "WINDOWS-1252":
             spark.conf.set("spark.sql.legacy.javaCharsets", "true")
         schema = row_schema(width)[2:]
@@ -119,10 +128,12 @@ class CsvReader:
             spark.read.schema(schema)
             .option("sep", delimiter).option("quote", '"').option("escape", '"').option("encoding", charset)
             .option("header", header).option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "bad__")
-            .option("multiLine", options.get("multiline", "false")).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+            .option("multiLine", False).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
             .csv(source.path)
         )
-        checked = frame.withColumn("bad__", F.when(F.col("bad__").isNotNull(), F.raise_error(F.lit("SW[IRREGULAR_ROW]")).cast("string")))
+        too_long = F.greatest(F.lit(0), F.lit(0), *[F.length(f"c{k}") for k in range(width)]) > longest
+        wrong = F.when(F.col("bad__").isNotNull(), "SW[IRREGULAR_ROW]").when(too_long, "SW[FIELD_LIMIT]")
+        checked = frame.withColumn("bad__", F.when(wrong.isNotNull(), F.raise_error(wrong).cast("string")))
         numbered = number_rows(checked, 2 if header else 1)
         cells = [cell(F.col(f"c{k}")).alias(f"c{k}") for k in range(width)]
         kept = numbered.where("bad__ IS NULL").select("record_number", F.lit(None).cast("long").alias("physical_line"), *cells)

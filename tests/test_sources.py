@@ -67,6 +67,40 @@ def test_large_files_take_the_splittable_reader(spark, monkeypatch):
     assert code_of(lambda: read(spark, b"A,B\n1,2,3\n" * 5)) == "IRREGULAR_ROW"
 
 
+def test_large_files_keep_quoted_line_breaks_and_limits(spark, monkeypatch):
+    files = [b'A,B\n' + b'"two\nlines","x\r\ny"\n1,2\n' * 50, b'A\n"one\n\ntwo"\nthree\n', '\ufeffA;B\r\n"a\r\nb";"é😀"\r\n'.encode()]
+    options = [{}, {"delimiter": ",", "header": "first"}, {}]
+    small = [read(spark, data, **o) for data, o in zip(files, options, strict=True)]
+    for size in (base.WHOLE_BYTES, 1):
+        monkeypatch.setattr("schemaweave.sources.csv.WHOLE_BYTES", size)
+        for (structure, rows), data, o in zip(small, files, options, strict=True):
+            again, got = read(spark, data, **o)
+            assert again == structure and got == rows
+        source = base.from_bytes(b"A,B\nabcdef,2\nabcde,2\n", "a.csv")
+        reader = CsvReader()
+        for longest in (5, 6):
+            limits = Limits(max_field_chars=longest)
+            rows = reader.open(spark, source, reader.detect(spark, source, {}, limits), {}, limits)
+            collect = lambda rows=rows: base.guarded(lambda: rows.frame.collect())
+            assert len(collect()) == 2 if longest == 6 else code_of(collect) == "FIELD_LIMIT"
+
+
+def test_large_files_can_be_split_by_request(spark, monkeypatch):
+    data = b"A,B\n" + b"".join(b"%d,abcdef\n" % k for k in range(300))
+    monkeypatch.setattr("schemaweave.sources.csv.WHOLE_BYTES", 1)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        whole, split = read(spark, data)[1], read(spark, data, multiline="false")[1]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(n, v) for n, _, v in whole] == [(n, v) for n, _, v in split] == [(k + 2, [str(k), "abcdef"]) for k in range(300)]
+    assert [line for _, line, _ in whole] == list(range(2, 302))
+    source, reader, limits = base.from_bytes(data, "a.csv"), CsvReader(), Limits(max_field_chars=5)
+    rows = reader.open(spark, source, reader.detect(spark, source, {}, limits), {"multiline": "false"}, limits)
+    assert code_of(lambda: base.guarded(lambda: rows.frame.collect())) == "FIELD_LIMIT"
+    assert code_of(lambda: read(spark, b"A,B\nx,y\n\nz,w\n")) == "IRREGULAR_ROW"
+
+
 def test_bytes_and_streams(spark):
     assert base.from_bytes(io.BytesIO(b"a,b\n"), "a.csv").content(spark) == b"a,b\n"
     for name in ("../a.csv", "", "a/b.csv", "a\\b"):
