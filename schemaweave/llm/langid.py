@@ -2,9 +2,10 @@
 
 Training counts hashed letter trigrams for each language (all labelled rows; sums over partitions). A document's
 words are taken as draws from a mixture of languages: expectation-maximisation over the words' trigram likelihoods
-estimates the proportions. Language sets grow one by one in the order of the proportions; a set is kept while the
-gain in log likelihood exceeds the penalty (half the log of the number of words for each added language, times a
-factor), and the prediction is the largest share in the set that won.
+estimates the proportions. Language sets grow one by one in the order of the proportions, up to all languages; the set
+with the largest log likelihood less the penalty (half the log of the number of words for each language, times a
+factor) wins, and the prediction is its largest share. A document leaves the growth when the penalty alone, with every
+word at its own maximum, keeps larger sets below the best one so far.
 
 Defined results: ``und`` with score 0 for a null text, one without a letter, or when nothing was learned; rows
 without text or language are not learned from; repeated rows count as often as they occur; other columns are ignored;
@@ -25,7 +26,6 @@ from .tokens import pieces
 BUCKETS = 1 << 15
 SMOOTHING = 0.5
 ROUNDS = 12
-LARGEST_SET = 3
 PENALTY = 2.0
 _letter: np.ndarray | None = None
 _lower: np.ndarray | None = None
@@ -127,11 +127,18 @@ def proportions(grams: Grams, table: np.ndarray) -> tuple[np.ndarray, np.ndarray
     rank = np.argsort(order, axis=1, kind="stable")
     best, best_score = np.zeros((n, k)), np.full(n, -np.inf)
     cost = PENALTY * 0.5 * np.log(np.maximum(words, 2))
-    for size in range(1, min(LARGEST_SET, k) + 1):
-        fitted, score = _mixture(like, owner, grams.first_word, (rank < size).astype(float), ROUNDS if size > 1 else 0)
-        score = score - size * cost
-        better = score > best_score
-        best[better], best_score[better] = fitted[better], score[better]
+    for size in range(1, k + 1):
+        open_ = best_score < -size * cost  # the log likelihood is never above 0
+        if not open_.any():
+            break
+        first = np.concatenate([[0], np.cumsum(np.where(open_, words, 0))])
+        first = np.append(first[:-1][open_], first[-1])
+        mine = open_[owner]
+        fitted, score = _mixture(like[mine], np.repeat(np.arange(open_.sum()), words[open_]), first, (rank[open_] < size).astype(float), ROUNDS if size > 1 else 0)
+        score = score - size * cost[open_]
+        better = score > best_score[open_]
+        at = np.flatnonzero(open_)[better]
+        best[at], best_score[at] = fitted[better], score[better]
     return best, words > 0
 
 

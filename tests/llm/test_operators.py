@@ -483,6 +483,19 @@ def test_empty_tables(empty, spark):
     assert chat.read_back(chat.format_conversations(turns)).count() == 0
 
 
+def test_documents_in_many_languages(spark):
+    """Every language of a text is found, however many there are; texts in one language stay as they are."""
+    rng = random.Random(11)
+    letters = {f"l{k}": "abcdefghijklmnopqrst"[4 * k : 4 * k + 4] for k in range(5)}
+    text = lambda lang, n: " ".join("".join(rng.choice(letters[lang]) for _ in range(5)) for _ in range(n))
+    train = spark.createDataFrame([(k, text(lang, 200), lang) for k in range(6) for lang in letters], "doc_id long, text string, lang string")
+    mixed = [(n, " ".join(text(lang, 120) for lang in sorted(letters)[:n]), n) for n in range(1, 6)]
+    got = langid.predict(spark.createDataFrame([*mixed, (9, "", 0)], "doc_id long, text string, n int"), langid.fit(train), ("doc_id", "n")).collect()
+    for r in got:
+        assert sorted(r.langs) == sorted(letters)[: r.n]
+        assert not r.n or r.score == pytest.approx(1 / r.n, abs=0.03)
+
+
 @pytest.mark.parametrize("name", ["op1_quality", "op7_langid"])
 def test_held_out_accuracy(spark, name):
     sf = "/root/testdata/sf0.01"
