@@ -216,6 +216,13 @@ def estimated_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("column_name", (F.abs(F.col("e") - F.col("d")) <= 0.1 * F.col("d") + 1).alias("ok"))
 
 
+@query()
+def cardinality_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The estimates themselves; estimated_cardinality only says that they are near, as its SQL does."""
+    cells = mixed(spark, sf_dir).where("NOT blank")
+    return cells.groupBy(F.col("column").alias("column_name")).agg(F.hll_sketch_estimate(F.hll_sketch_agg("raw", F.lit(12))).alias("estimate"))
+
+
 @query(DIRTY_CELLS_SQL + """, n AS (SELECT col, count(*) AS total, count(*) FILTER (blank) AS nulls FROM cells GROUP BY col),
 p AS (SELECT col, 'RARE_FORMAT' AS code, pattern AS bucket, count(*) AS n, min(k) AS first FROM cells WHERE NOT blank GROUP BY col, pattern UNION ALL SELECT col, 'RARE_LENGTH', bucket, count(*), min(k) FROM cells WHERE NOT blank GROUP BY col, bucket),
 q AS (SELECT *, max(n) OVER w AS top, sum(n) OVER w AS observed, count(*) OVER w AS buckets FROM p WINDOW w AS (PARTITION BY col, code)),

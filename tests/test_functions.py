@@ -107,3 +107,12 @@ def test_redaction_keeps_every_row(spark, tmp_path):
     spark.createDataFrame(list(enumerate(values)), "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.text for r in catalog.redaction(spark, str(tmp_path)).collect()}
     assert got == {k: f"<redacted:length={len((v or '').encode('utf-16-le')) // 2}>" for k, v in enumerate(values)}
+
+
+def test_cardinality_estimates_are_near_the_exact_counts(spark):
+    sf = "/root/testdata/sf0.01"
+    exact = {r["column"]: r.n for r in catalog.mixed(spark, sf).where("NOT blank").groupBy("column").agg(F.count_distinct("raw").alias("n")).collect()}
+    got = {r.column_name: r.estimate for r in catalog.cardinality_estimates(spark, sf).collect()}
+    assert got.keys() == exact.keys() and max(exact.values()) > 1000
+    # 4096 registers: a standard error of at most 1.04 / 64
+    assert all(abs(got[c] - n) <= 4 * 1.04 / 64 * n for c, n in exact.items())
