@@ -74,14 +74,24 @@ class Source:
         return "\n".join(r.value for r in rows).encode()[:size]
 
     def sha256(self, spark: SparkSession) -> str:
-        """Of the bytes; of a source too large for one value, of its files' names, lengths and times."""
-        if self.size(spark) <= 1 << 30:
-            rows = [[r.path, r.h] for r in self._frame(spark).select("path", F.sha2("content", 256).alias("h")).collect()]
-            if len(rows) == 1:
-                return rows[0][1]
-        else:
-            rows = [[r.path, r.length, str(r.modificationTime)] for r in self._frame(spark).select("path", "length", "modificationTime").collect()]
-        return hashlib.sha256(repr(sorted(rows)).encode()).hexdigest()
+        """Of the bytes, at any size; of several files, of their names below the common folder and their hashes.
+
+        The driver streams each file once in a fixed buffer: the digest of one file cannot be made in parts.
+        """
+        self.size(spark)  # refuses a missing source
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        hashes = {}
+        for r in self._frame(spark).select("path").collect():
+            path = jvm.org.apache.hadoop.fs.Path(r.path)
+            stream = path.getFileSystem(conf).open(path)
+            try:
+                hashes[r.path] = jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+            finally:
+                stream.close()
+        if len(hashes) == 1:
+            return next(iter(hashes.values()))
+        top = len(os.path.commonpath(hashes)) if hashes else 0
+        return hashlib.sha256(repr(sorted([p[top:], h] for p, h in hashes.items())).encode()).hexdigest()
 
 
 def from_bytes(data: bytes, name: str, limit: int = 64 << 20) -> Source:

@@ -1,5 +1,6 @@
 """CSV and Excel readers and in-memory sources."""
 
+import hashlib
 import io
 import struct
 import zipfile
@@ -110,6 +111,20 @@ def test_bytes_and_streams(spark):
     assert one.sha256(spark) == two.sha256(spark)
 
 
+def test_fingerprints_are_of_the_content(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(base.Source, "size", lambda self, spark: 2 << 30)  # as a large source
+    data = b"0123456789abcdef" * 300_000
+    one, two, other = (base.from_bytes(x, n) for x, n in ((data, "a.csv"), (data, "b.csv"), (data[:-1] + b"!", "a.csv")))
+    assert one.sha256(spark) == two.sha256(spark) == hashlib.sha256(data).hexdigest()
+    assert other.sha256(spark) == hashlib.sha256(data[:-1] + b"!").hexdigest()
+    for folder, last in (("x", b"2"), ("y", b"2"), ("z", b"3")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "1.csv").write_bytes(b"1")
+        (tmp_path / folder / "2.csv").write_bytes(last)
+    x, y, z = (base.Source(f"file://{tmp_path}/{f}").sha256(spark) for f in "xyz")
+    assert x == y != z
+
+
 def test_frames(spark):
     frame = spark.range(5).selectExpr("id", "CAST(id / 2 AS double) AS half", "CASE WHEN id = 3 THEN NULL ELSE 'x' END AS s")
     rows = from_frame(frame, order="id")
