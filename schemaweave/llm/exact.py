@@ -1,12 +1,14 @@
 """Exact deduplication against a persistent digest index.
 
 The index is a Parquet table bucketed and sorted by the SHA-256 digest of the normalised text. New documents are
-reduced to one row per digest, anti-joined to the index by sort-merge (the index side needs neither shuffle nor sort)
-and the remaining digests are appended. Hot groups of copies never meet in one task: groups are counted in two steps
-over (digest, salt) and joined back to the documents on the same pair.
-
-Defined results: a null text counts as empty and empty texts equal each other; a null doc_id sorts after all others;
-of rows that repeat doc_id and text exactly one stays; other columns are ignored; an empty table gives no rows.
+reduced to one row per digest, anti-joined to the index by sort-merge (the index side is not shuffled; its buckets are
+sorted again, as a bucket has one sorted file for each batch) and the remaining digests are appended. A new index gets so
+many buckets that its first batch has about ``BUCKET_ROWS`` digests in each. Hot groups of copies never meet in one task:
+groups are counted in two steps over (digest, salt) and joined back to the documents on the same pair.
+
+Defined results: a null text counts as empty and empty texts equal each other; a null doc_id (or one that is no whole
+number) sorts after all others; of rows that repeat doc_id and text exactly one stays, the one whose columns have the
+smallest hash; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,25 +19,31 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import new_path, shuffle_partitions, stash
+from .store import new_path, on_clean, shuffle_partitions, stash, unused
 
 SPACES = r"[\x20\x09-\x0D]+"
 BROADCAST_KEYS = 1_000_000
+BUCKETS, BUCKET_ROWS = 64, 4_000_000
 
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")
 
 
+def whole_id() -> Column:
+    """The doc_id as an integer; null where it is none."""
+    return F.col("doc_id").try_cast("long")
+
+
 def row_key() -> Column:
-    """Identifies a row by its doc_id and raw text."""
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    """A hash of doc_id and raw text; with the doc_id beside it, it stands for a row."""
+    return F.xxhash64(whole_id(), F.col("text").cast("string"))
 
 
 class DigestIndex:
     """A persistent set of digests with the document that stands for each; reopened by its path."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         self.spark, self.path, self.buckets = spark, path, buckets
         self.table = "digests_" + hashlib.sha256(path.encode()).hexdigest()[:24]
         spark.sql(
@@ -62,11 +70,9 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None, batch: str |
     appended to the index under ``batch``.
     """
     spark = docs.sparkSession
-    if index is None:
-        index = DigestIndex(spark, new_path(spark, "digest-index"))
     batch = batch or uuid.uuid4().hex
     digests = stash(
-        docs.select("doc_id", row_key().alias("row_key"), F.monotonically_increasing_id().alias("row_id"), F.unhex(F.sha2(normalised(F.col("text")).cast("binary"), 256)).alias("digest")),
+        docs.select(whole_id().alias("doc_id"), row_key().alias("row_key"), F.monotonically_increasing_id().alias("row_id"), F.unhex(F.sha2(normalised(F.col("text")).cast("binary"), 256)).alias("digest")),
         "digests",
     ).withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(shuffle_partitions(spark))))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id"))
@@ -75,6 +81,9 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None, batch: str |
         parts.groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("group_size")).select("digest", "group_size", F.col("first.doc_id").alias("keep_id"), F.col("first.row_id").alias("keep_row")),
         "digest-groups",
     )
+    if index is None:
+        index = DigestIndex(spark, new_path(spark, "digest-index"), max(BUCKETS, groups.count() // BUCKET_ROWS))
+        on_clean(spark, f"DROP TABLE IF EXISTS {index.table}")
     index.append(index.unseen(groups), batch)
     known = groups.drop("keep_id").join(index.rows().hint("merge"), "digest").withColumn("keep_row", F.when(F.col("batch") == batch, F.col("keep_row")))
     salted = parts.select("digest", "salt").join(known.drop("batch"), "digest")
@@ -90,16 +99,23 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None, batch: str |
 
 def keep_first(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. Texts are shuffled only where the dropped rows are too many to broadcast."""
-    rows = stash(deduplicate(docs, index).select("row_key", "kept"), "decisions")
-    keys = rows.groupBy("row_key").agg(F.count_if("kept").alias("stay"), F.count("*").alias("n")).where("n > stay")
-    gone = stash(keys, "gone")
+    row, own = unused(docs, "row_key", "own_id")
+    rows = deduplicate(docs, index).select(F.col("row_key").alias(row), F.col("doc_id").alias(own), "kept")
+    gone = stash(rows.groupBy(row, own).agg(F.count_if("kept").alias("stay"), F.count("*").alias("n")).where("n > stay"), "gone")
     n = gone.count()
     if not n:
         return docs
-    few = (lambda df: F.broadcast(df)) if n <= BROADCAST_KEYS else (lambda df: df)
-    named = docs.withColumn("row_key__", row_key())
-    gone = gone.withColumnRenamed("row_key", "row_key__")
-    left = named.join(few(gone.select("row_key__")), "row_key__", "left_anti")
-    if gone.where("stay > 0").limit(1).count():  # rows repeated as a whole, of which one stays
-        left = left.unionByName(named.join(few(gone.where("stay > 0").select("row_key__")), "row_key__", "left_semi").dropDuplicates(["row_key__"]))
-    return left.drop("row_key__")
+    named = docs.withColumns({row: row_key(), own: whole_id()})
+
+    def joined(some: DataFrame, how: str) -> DataFrame:
+        some = some.select(row, own)
+        same = [named[row] == some[row], named[own].eqNullSafe(some[own])]
+        return named.join(F.broadcast(some) if n <= BROADCAST_KEYS else some, same, how)
+
+    left = joined(gone, "left_anti")
+    repeated = gone.where("stay > 0")
+    if repeated.limit(1).count():  # rows repeated as a whole, of which one stays
+        columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        one = joined(repeated, "left_semi").groupBy(row, own).agg(F.min_by(columns, F.xxhash64(F.to_json(columns))).alias("r"))
+        left = left.unionByName(one.select("r.*", row, own))
+    return left.drop(row, own)

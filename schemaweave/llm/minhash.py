@@ -8,15 +8,18 @@ of independent trials. ``ROWS`` bins make a band; texts that agree in a band are
 0.85 meet in none of the 32 bands of 5 with a chance of 7e-9.
 
 Equal sets are first reduced to one representative. In each bucket (texts that agree in a band) all members are
-compared with a leader, drawn by hash from one of a few families, on their full sets, and linked texts are merged. Members of
-buckets in which several components are left then meet in an exact prefix join: their tokens ordered by rarity, with length and
-positional filters. So every candidate pair is either verified, cut off by an exact filter, or already known to be
-connected; a group of n near copies costs about n comparisons.
-
-A row is known by the hash of its doc_id and text, so ids may repeat. Defined results: null and blank texts have an
-empty set and link with nothing; a null doc_id is never the smallest of its component, and where all are null the
-component_id is null and the rows are kept; rows that repeat a doc_id are kept or not like each other when their texts
-link; other columns are ignored; an empty table gives no rows.
+compared with a leader: the member with the most company over all its buckets, which stands in the middle of its group
+and leads nearly all of the group's buckets. A pair goes to the full comparison only if sizes allow the similarity and the
+parity signs of the sets (``SIGNS`` bits; each differing element flips one) do not already show too large a difference.
+Linked texts are merged. Members of buckets in which several components are left then meet in an exact prefix join: their
+tokens ordered by rarity, with length and positional filters and the same signs, inside tokens that are still held by several
+components. So every candidate pair is either verified, cut off by an exact filter, or already known to be connected; a
+group of n near copies costs about n comparisons.
+
+A row is known by its doc_id and the hash of its doc_id and text, so ids may repeat. Defined results: null and blank texts
+have an empty set and link with nothing; a null doc_id (or one that is no whole number) is never the smallest of its
+component, and where all are null the component_id is null and the rows are kept; rows that repeat a doc_id are kept or not
+like each other when their texts link; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .exact import row_key
-from .store import shuffle_partitions, stash
+from .exact import row_key, whole_id
+from .store import shuffle_partitions, stash, thrifty, unused
 from .tokens import Words, mix, pieces
 
 WIDTH = 5
 BANDS, ROWS = 32, 5
 COORDINATES = BANDS * ROWS
-LEADERS = 3
+SIGNS = 512
 BROADCAST_IDS = 1_000_000
 
 
@@ -80,27 +83,44 @@ def sketches(sets: list[np.ndarray], t: int = COORDINATES) -> np.ndarray:
     return bins.reshape(-1, t)
 
 
+def signs(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set the parities of how many elements fall on each of ``SIGNS`` places, as 64-bit integers."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    items = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
+    at = owner * SIGNS + (mix(items) & np.uint64(SIGNS - 1)).astype(np.int64)
+    odd = np.bincount(at, minlength=len(sets) * SIGNS).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(-1, SIGNS), axis=1).view(np.int64)
+
+
+def _lists(rows: np.ndarray, some: list[int], n: int) -> pa.Array:
+    """Lists of the rows at the places in ``some``, null elsewhere."""
+    lists: list = [None] * n
+    for k, row in zip(some, rows, strict=True):
+        lists[k] = row
+    return pa.array(lists, pa.list_(pa.int64()))
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "text__"):
-        sets = shingles(batch.column("text__"))
+    for batch in pieces(batches, "text"):
+        sets = shingles(batch.column("text"))
         some = [k for k, s in enumerate(sets) if len(s)]
-        sk = sketches([sets[k] for k in some])
+        filled = [sets[k] for k in some]
+        sk = sketches(filled)
         keys = np.zeros((len(some), BANDS), np.uint64)
         for r in range(ROWS):
             keys = mix(keys * np.uint64(0xD6E8FEB86659FD93) + sk[:, r::ROWS] + np.uint64(r))
-        lists: list = [None] * len(sets)
-        for k, row in zip(some, keys.view(np.int64), strict=True):
-            lists[k] = row
         digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["id", "doc_id", "size", "digest", "bands"]
-        )
+        parts = [pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), _lists(keys.view(np.int64), some, len(sets)), _lists(signs(filled), some, len(sets))]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *parts], ["row", "doc_id", "size", "digest", "bands", "signs"])
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(row_key().alias("row"), whole_id().alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """id (the row's key), doc_id, size, digest of the set, and the keys of its bands."""
-    rows = docs.select(row_key().alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text__"))
-    return rows.mapInArrow(_sketch, "id long, doc_id long, size long, digest binary, bands array<long>")
+    """row (the row's key), doc_id, size, digest of the set, the keys of its bands and its signs."""
+    return _rows(docs).mapInArrow(thrifty(_sketch), "row long, doc_id long, size long, digest binary, bands array<long>, signs array<long>")
 
 
 def _hint(df: DataFrame, rows: int) -> DataFrame:
@@ -133,7 +153,7 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
 
     one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     two = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return two.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return two.select("a", "b", "text_a", "text_b").mapInArrow(thrifty(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -161,9 +181,10 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def _apart(threshold: int) -> Column:
-    """The length filter: smaller sets than this share too little to reach the threshold."""
-    return 100 * F.least("size", "size_b") >= threshold * F.greatest("size", "size_b")
+def _may_link(threshold: int) -> Column:
+    """Sizes and signs allow the similarity: similar sets differ in at most (100 - t) / (100 + t) of both sizes' sum."""
+    flipped = sum((F.bit_count(F.col("signs")[k].bitwiseXOR(F.col("signs_b")[k])) for k in range(SIGNS // 64)), F.lit(0))
+    return (100 * F.least("size", "size_b") >= threshold * F.greatest("size", "size_b")) & (flipped * (100 + threshold) <= (100 - threshold) * (F.col("size") + F.col("size_b")))
 
 
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,41 +199,48 @@ def rare_pairs(members: DataFrame, texts: DataFrame, threshold: int) -> DataFram
     """Pairs (a, b) of members in different components that may be similar: an exact prefix filter.
 
     Tokens are ordered by rarity; similar sets share one in their prefixes. Copies that differ too much from all others
-    have many tokens of their own, which come first and match nothing. ``members``: id, size, component.
+    have many tokens of their own, which come first and match nothing. ``members``: id, size, signs, component.
     """
-    tokens = stash(texts.mapInArrow(_explode, "id long, token long"), "member-tokens")
+    tokens = stash(texts.select("id", "text").mapInArrow(thrifty(_explode), "id long, token long"), "member-tokens")
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     mine = Window.partitionBy("id")
     place = F.row_number().over(mine.orderBy("df", "token")) - F.count("*").over(mine)
-    known = tokens.join(shared, "token").withColumn("late", place).join(members, "id").withColumn("pos", F.col("size") + F.col("late"))
+    known = tokens.join(shared, "token").withColumn("late", place).join(members.select("id", "size", "component"), "id").withColumn("pos", F.col("size") + F.col("late"))
     prefix = F.col("size") - F.ceil(F.col("size") * threshold / F.lit(100.0)) + 1
     postings = stash(known.where(F.col("pos") <= prefix).select("token", "id", "size", "component", "pos"), "member-prefixes")
-    other = postings.select("token", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"), F.col("pos").alias("pos_b"))
+    several = postings.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
+    mixed = postings.join(several, "token").join(members.select("id", "signs"), "id")
+    other = mixed.select("token", *[F.col(c).alias(f"{c}_b") for c in ("size", "component", "pos", "signs")], F.col("id").alias("b"))
     room = (1 + F.least(F.col("size") - F.col("pos"), F.col("size_b") - F.col("pos_b"))) * (100 + threshold) >= threshold * (F.col("size") + F.col("size_b"))
-    pairs = postings.join(other, "token").where((F.col("id") > F.col("b")) & (F.col("component") != F.col("component_b")) & _apart(threshold) & room)
+    pairs = mixed.join(other, "token").where((F.col("id") > F.col("b")) & (F.col("component") != F.col("component_b")) & room & _may_link(threshold))
     return pairs.select(F.col("id").alias("a"), "b").distinct()
 
 
-def links(sketched: DataFrame, docs: DataFrame, threshold: int = 85) -> tuple[DataFrame, DataFrame]:
-    """Verified pairs (a, b) of representatives that span all components of the similarity graph, and the components."""
-    reps = sketched.where("digest IS NOT NULL").groupBy("digest").agg(F.min_by(F.struct("id", "size", "bands"), "id").alias("r")).select("r.*")
+def links(reps: DataFrame, docs: DataFrame, threshold: int = 85) -> tuple[DataFrame, DataFrame]:
+    """Verified pairs (a, b) of representatives that span all components of the similarity graph, and the components.
+
+    ``reps``: id, row, doc_id, size, bands, signs.
+    """
     dealt = reps.select("id", "size", F.posexplode("bands").alias("band", "key")).select("id", "size", F.xxhash64("band", "key").alias("bucket"))
-    shared = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = stash(dealt.join(shared, "bucket"), "bucket-members")
-    # the family of leaders goes with the bucket, so members of one group meet few different leaders
-    family = F.pmod(F.col("bucket"), F.lit(LEADERS))
-    leader = members.groupBy("bucket").agg(F.min_by(F.struct(F.col("id").alias("b"), F.col("size").alias("size_b")), F.xxhash64(family, "id")).alias("l")).select("bucket", "l.*")
-    pairs = members.join(leader, "bucket").where((F.col("id") != F.col("b")) & _apart(threshold))
-    pairs = stash(pairs.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct(), "pairs")
-    found = stash(verify(pairs, _texts(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b"))), threshold), "verified")
+    company = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = stash(dealt.join(company, "bucket"), "bucket-members")
+    fame = members.groupBy("id").agg(F.sum("n").alias("fame"))
+    known = stash(reps.select("id", "row", "doc_id", "size", "signs").join(fame, "id"), "known")
+    leader = members.join(known.select("id", "fame"), "id").groupBy("bucket").agg(F.max_by("id", F.struct("fame", "id")).alias("b"))
+    # a leader has more fame than those it leads, so no pair comes in both orders
+    pairs = members.select("id", "bucket").join(leader, "bucket").where(F.col("id") != F.col("b")).select(F.col("id").alias("a"), "b").distinct()
+    one, two = (known.select(F.col("id").alias(k), F.col("size").alias(f"size{x}"), F.col("signs").alias(f"signs{x}")) for k, x in (("a", ""), ("b", "_b")))
+    pairs = stash(pairs.join(one, "a").join(two, "b").where(_may_link(threshold)).select("a", "b"), "pairs")
+    found = stash(verify(pairs, _texts(docs, known, pairs.select(F.col("a").alias("id")).union(pairs.select("b"))), threshold), "verified")
     labels = components(found)
     # of buckets with at least three members, those in which several components are left
     current = _labelled(members, labels)
     mixed = current.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("n > 2 AND low < high").select("bucket")
-    open_ = stash(current.join(mixed, "bucket").select("id", "size", "component").distinct(), "open")
+    open_ = current.join(mixed, "bucket").select("id", "component").distinct()
+    open_ = stash(open_.join(known.select("id", "size", "signs"), "id"), "open")
     if not open_.limit(1).count():
         return found, labels
-    texts = _texts(docs, open_.select("id"))
+    texts = _texts(docs, known, open_.select("id"))
     more = stash(verify(stash(rare_pairs(open_, texts, threshold), "pairs"), texts, threshold), "verified")
     if not more.limit(1).count():
         return found, labels
@@ -220,32 +248,43 @@ def links(sketched: DataFrame, docs: DataFrame, threshold: int = 85) -> tuple[Da
     return found, components(found)
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, text of the wanted rows, one for each id."""
-    ids = stash(ids.distinct(), "wanted")
-    rows = docs.select(row_key().alias("id"), "text").join(_hint(ids, ids.count()), "id")
+def _texts(docs: DataFrame, known: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, text of the wanted representatives."""
+    wanted = stash(known.select("id", "row", F.col("doc_id").alias("own")).join(ids.distinct(), "id"), "wanted")
+    rows = _rows(docs).join(_hint(wanted, wanted.count()), "row").where(F.col("doc_id").eqNullSafe(F.col("own"))).select("id", "text")
     return stash(rows.dropDuplicates(["id"]), "pair-texts")
 
 
+def representatives(sketched: DataFrame) -> DataFrame:
+    """One row for each set: digest, row, doc_id, size, bands, signs and a number that stays with it."""
+    chosen = F.min_by(F.struct("row", "doc_id", "size", "bands", "signs"), F.struct("row", "doc_id"))
+    reps = sketched.where("digest IS NOT NULL").groupBy("digest").agg(chosen.alias("r")).select("digest", "r.*")
+    return stash(reps.withColumn("id", F.monotonically_increasing_id()), "representatives")
+
+
 def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
-    """id (the row's key), doc_id, n_shingles, component_id, kept for every row."""
+    """row (the row's key), doc_id, n_shingles, component_id, kept for every row."""
     spark = docs.sparkSession
     sketched = stash(sketch(docs), "sketches")
-    _, labels = links(sketched, docs, threshold)
-    rows = sketched.select("id", "doc_id", "size", "digest").withColumn("salt", F.pmod(F.xxhash64("doc_id", "id"), F.lit(shuffle_partitions(spark))))
-    parts = rows.where("digest IS NOT NULL").groupBy("digest", "salt").agg(F.min("id").alias("id"), F.min("doc_id").alias("low"))
-    classes = stash(parts.groupBy("digest").agg(F.min("id").alias("id"), F.min("low").alias("low")).join(labels, "id", "left").select("digest", "low", F.coalesce("component", "id").alias("component")), "classes")
+    reps = representatives(sketched)
+    _, labels = links(reps, docs, threshold)
+    rows = sketched.select("row", "doc_id", "size", "digest").withColumn("salt", F.pmod(F.xxhash64("doc_id", "row"), F.lit(shuffle_partitions(spark))))
+    parts = rows.where("digest IS NOT NULL").groupBy("digest", "salt").agg(F.min("doc_id").alias("low"))
+    named = reps.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
+    classes = stash(parts.groupBy("digest").agg(F.min("low").alias("low")).join(named, "digest"), "classes")
     lowest = stash(classes.groupBy("component").agg(F.min("low").alias("component_id")), "lowest")
     named = classes.join(lowest, "component").select("digest", "component_id")
     salted = parts.select("digest", "salt").join(named, "digest")
     out = rows.join(salted, ["digest", "salt"], "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("id", "doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("row", "doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, threshold: int = 85) -> DataFrame:
     """The rows of ``docs`` that stand for their component, with all their columns."""
-    gone = stash(near_duplicates(docs, threshold).where("NOT kept").select(F.col("id").alias("row_key__")).distinct(), "gone")
-    n = gone.count()
-    named = docs.withColumn("row_key__", row_key())
-    return named.join(_hint(gone, n), "row_key__", "left_anti").drop("row_key__")
+    row, own = unused(docs, "row_key", "own_id")
+    gone = near_duplicates(docs, threshold).where("NOT kept").select(F.col("row").alias(row), F.col("doc_id").alias(own)).distinct()
+    gone = stash(gone, "gone")
+    named = docs.withColumns({row: row_key(), own: whole_id()})
+    same = [named[row] == gone[row], named[own].eqNullSafe(gone[own])]
+    return named.join(_hint(gone, gone.count()), same, "left_anti").drop(row, own)
