@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import thrifty, unused
 from .tokens import pieces
 
 BUCKETS = 1 << 15
@@ -85,7 +86,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
             some = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some.astype(np.int32)), pa.array(counts[some].astype(np.int64))], ["lang", "bucket", "n"])
 
-    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text").mapInArrow(run, "lang string, bucket int, n long")
+    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text").mapInArrow(thrifty(run), "lang string, bucket int, n long")
     return rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
@@ -142,6 +143,13 @@ def proportions(grams: Grams, table: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return best, words > 0
 
 
+def _named(column: pa.Array, langs: list[str], table: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """For each text whether it has a letter (and something was learned), the language and the shares of its set."""
+    grams = Grams(column.to_pylist())
+    share, has_letter = proportions(grams, table) if langs else (np.zeros((len(column), 1)), np.zeros(len(column), bool))
+    return has_letter, [langs[t] if ok else "und" for t, ok in zip(share.argmax(1), has_letter, strict=True)], share
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in ``keep``, lang_pred, score (its share) and langs, the selected set with shares."""
     langs, table = model
@@ -150,23 +158,33 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: tuple[st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, table = sent.value
         for batch in pieces(batches, "text__"):
-            grams = Grams(batch.column("text__").to_pylist())
-            share, has_letter = proportions(grams, table) if langs else (np.zeros((batch.num_rows, 1)), np.zeros(batch.num_rows, bool))
-            top = share.argmax(1)
+            has_letter, pred, share = _named(batch.column("text__"), langs, table)
             score = np.where(has_letter, np.clip(share.max(1), 0, 1), 0.0)
-            pred = [langs[t] if ok else "und" for t, ok in zip(top, has_letter, strict=True)]
             sets = [{langs[j]: float(row[j]) for j in np.flatnonzero(row > 0)} if ok else {} for row, ok in zip(share, has_letter, strict=True)]
             kept = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(pred, pa.string()), pa.array(score), pa.array([list(x.items()) for x in sets], pa.map_(pa.string(), pa.float64()))], [*keep, "lang_pred", "score", "langs"])
 
     rows = docs.select(*keep, F.col("text").alias("text__"))
     schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep] + ["lang_pred string, score double, langs map<string,double>"])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(thrifty(run), schema)
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which a language is found, all columns; a missing ``lang`` is filled in."""
-    own = {c: f"{c}__own" for c in docs.columns}
-    rows = docs.select(*[F.col(c).alias(o) for c, o in own.items()], "text")
-    found = predict(rows, fit(docs), tuple(own.values())).where(F.col("lang_pred") != "und")
-    return found.select(*[F.coalesce(o, "lang_pred").alias(c) if c == "lang" else F.col(o).alias(c) for c, o in own.items()])
+    """The rows of ``docs`` in which a language is found, all columns; a missing ``lang`` is filled in.
+
+    Only texts go to the Python workers; all other columns wait in the executor.
+    """
+    langs, table = fit(docs)
+    sent = docs.sparkSession.sparkContext.broadcast((langs, table.astype(np.float32)))
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            whole = pa.RecordBatch.from_arrays([column], ["text"])
+            found = [pa.array(_named(batch.column("text"), *sent.value)[1], pa.string()) for batch in pieces([whole], "text")]
+            yield pa.concat_arrays(found) if found else pa.array([], pa.string())
+
+    run.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    (pred,) = unused(docs, "lang_pred")
+    # not deterministic for the planner: else it evaluates the function once for the filter and once more for the result
+    found = docs.withColumn(pred, F.arrow_udf(thrifty(run), "string").asNondeterministic()(F.col("text").cast("string"))).where(F.col(pred) != "und")
+    return found.select(*[F.coalesce(f"`{c}`", pred).alias(c) if c.lower() == "lang" else F.col(f"`{c}`") for c in docs.columns])

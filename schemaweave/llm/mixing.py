@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import stash
+from .store import stash, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKET_ROWS = 4096
@@ -110,12 +110,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int =
 
 def repeat(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 17) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, all columns; the one fraction of a source is rounded to a whole row."""
-    rows = _sized(docs, seed)
-    plan, few = plan_mix(stash(rows.select("size__", "name__", "draw__", "source__"), "sized"), weights, max_epochs)
-    kept = docs.columns
-    clash = [c for c in ("source_size", "target", "taken", "whole", "edge", "edge_left", "edge_words") if c in kept]
-    for c in clash:
-        rows = rows.withColumnRenamed(c, f"{c}__own")
+    # the columns wait in a struct, so that none of them clashes with a name in the plan
+    (own,) = unused(docs, "own_columns")
+    rows = _sized(docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(own)), seed).drop("doc_id", "text", "source")
+    plan, few = plan_mix(stash(rows.drop(own), "sized"), weights, max_epochs)
     times = F.when(F.col("size__") > 0, F.round(F.col("taken") / F.col("size__")).cast("int")).otherwise(0)
-    rows = _taken(rows, plan, few).withColumn("copy__", F.explode(F.array_repeat(F.lit(0), times)))
-    return rows.select(*[F.col(f"{c}__own").alias(c) if c in clash else F.col(c) for c in kept])
+    return _taken(rows, plan, few).withColumn("copy__", F.explode(F.array_repeat(F.lit(0), times))).select(f"{own}.*")

@@ -10,14 +10,16 @@ pieces, so nothing is shuffled and no task sees a whole source. A lost task is r
 the same sequences: their ids are the partition's number times 2**40 plus a running number.
 
 Defined results: a null or empty text is the end token alone; repeated rows are packed as often as they occur; a null
-doc_id stays null; other columns are ignored; an empty table gives no rows. ``prompt_tokens``, where given, counts the
+doc_id stays null, one that is no whole number becomes null; other columns are ignored; an empty table gives no rows. ``prompt_tokens``, where given, counts the
 leading ids of a document that carry no loss (null: 0).
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,14 +30,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import thrifty
 from .tokens import pieces
 
 POOL = 512
-WORDS, PARTS_KEPT = 500_000, 250_000  # entries of the caches in a worker, about 150 MB
+CACHE = 10 << 20  # bytes of each of four caches in a worker, as estimated from keys and values
+ENTRY = 150  # bytes of an entry besides its key and value
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 SIMPLE = re.compile(f"[\x21-\x7e{LATIN}]*")
-#: The splitting pattern of the vocabulary file, for lower-case ASCII and Latin letters: a fixed value.
+#: The normalisation and splitting of the vocabulary file: fixed values. Files with others go through the library alone.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
+#: The same splitting for lower-case ASCII and Latin letters.
 PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^a-z0-9{LATIN}]+")
 
 
@@ -55,11 +65,36 @@ def _byte_names() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+class Recent:
+    """A cache of bounded size in two halves: what is used of the older half moves to the newer one, the rest goes."""
+
+    def __init__(self, most: int = CACHE):
+        self.most, self.size = most, 0
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def find(self, key) -> bytes | None:
+        value = self.new.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value: bytes) -> None:
+        self.new[key] = value
+        self.size += len(key) + len(value) + ENTRY
+
+    def turn(self) -> None:
+        """Start a new half when the newer one is full."""
+        if self.size > self.most:
+            self.old, self.new, self.size = self.new, {}, 0
+
+
 class WordTokenizer:
     """Encodes texts word by word with caches; equal to encoding the whole text, as no token spans white space.
 
     Words of printable ASCII and Latin letters are split here and go straight to the merges; the vocabulary's own
-    normalisation and splitting are applied to all others.
+    normalisation and splitting are applied to all others. A vocabulary file that normalises or splits in another way than
+    ``NORMALIZER`` and ``SPLITTER`` gets whole texts through the library.
     """
 
     loaded: dict[str, WordTokenizer] = {}
@@ -70,9 +105,11 @@ class WordTokenizer:
 
         self.model = Tokenizer.from_file(path)
         self.merge = self.model.model.tokenize
+        with open(path, encoding="utf-8") as file:
+            said = json.load(file)
+        self.by_word = (said["normalizer"], said["pre_tokenizer"]) == (NORMALIZER, SPLITTER) and not said["post_processor"]
         self.names = _byte_names()
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words, self.parts = Recent(), Recent()
 
     @classmethod
     def get(cls, path: str) -> WordTokenizer:
@@ -82,33 +119,40 @@ class WordTokenizer:
         return cls.loaded[path]
 
     def _part(self, part: str) -> bytes:
-        found = self.parts.get(part)
+        found = self.parts.find(part)
         if found is None:
             text = part if part.isascii() else "".join([self.names[b] for b in part.encode()])
-            found = self.parts[part] = np.array([t.id for t in self.merge(text)], "<u4").tobytes()
+            ids = [t.id for t in self.merge(text)]
+            found = struct.pack(f"<{len(ids)}I", *ids)
+            self.parts.put(part, found)
         return found
 
     def learn(self, words: set[bytes]) -> None:
         other = []
         for word in words:
+            if self.words.find(word) is not None:
+                continue
             text = word.decode()
             low = text.lower()
             if SIMPLE.fullmatch(text) and SIMPLE.fullmatch(low) and "<|" not in text:
-                self.words[word] = b"".join([self._part(p) for p in PARTS.findall(low)])
+                self.words.put(word, b"".join([self._part(p) for p in PARTS.findall(low)]))
             else:
                 other.append((word, text))
         if other:
             for (word, _), e in zip(other, self.model.encode_batch_fast([t for _, t in other], add_special_tokens=False), strict=True):
-                self.words[word] = np.asarray(e.ids, "<u4").tobytes()
+                self.words.put(word, np.asarray(e.ids, "<u4").tobytes())
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
-        for cache, most in ((self.words, WORDS), (self.parts, PARTS_KEPT)):
-            if len(cache) > most:
-                cache.clear()
+        if not self.by_word:
+            for text in texts:
+                yield np.asarray(self.model.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            return
+        self.words.turn()
+        self.parts.turn()
         split = [t.split() for t in texts]
-        self.learn(set().union(*split).difference(self.words))
-        get = self.words.__getitem__
+        self.learn(set().union(*split).difference(self.words.new))
+        get = self.words.new.__getitem__
         for ws in split:
             yield b"".join(map(get, ws))
 
@@ -227,4 +271,4 @@ def pack(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(), end_id
         yield rows()
 
     prompt = F.col(prompt_column).cast("long") if prompt_column else F.lit(0).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), prompt.alias("prompt")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), prompt.alias("prompt")).mapInArrow(thrifty(run), schema)
