@@ -2,9 +2,10 @@
 
 Each document is reduced once to a short vector of statistics of its bytes, words and lines. Cosines of random
 projections of the standardised vector approximate a Gaussian kernel; every task sums its part of the normal
-equations, the sums are added in two steps, and the driver solves one system of ``FEATURES`` unknowns. A tenth of the
-training rows is held back from the fit: its scores are counted in bins and pooled into a monotone step function
-(pool adjacent violators), interpolated between the steps, that turns scores into probabilities.
+equations for each of ``FOLDS`` folds, the sums are added in two steps, and the driver solves systems of ``FEATURES``
+unknowns: one over all folds, which scores, and one without each fold. The scores of a fold's rows by the system without them
+are counted in bins and pooled into a monotone step function (pool adjacent violators), interpolated between the steps, that
+turns scores into probabilities. So no row calibrates a fit that it took part in.
 
 The fit uses at most about ``MAX_TRAIN`` labelled rows, taken by a hash of the doc_id; everything else covers all rows.
 
@@ -31,6 +32,7 @@ FEATURES = 384
 MAX_TRAIN = 500_000
 RIDGE = 1e-3
 BINS = 400
+FOLDS = 4
 SEED = 5
 
 
@@ -144,6 +146,14 @@ def isotonic(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(n), v) for v, _, n in blocks]) if blocks else values
 
 
+def solve(sums: np.ndarray) -> np.ndarray:
+    """Ridge weights from normal equations, the targets in the last column; the bias, the last feature, is hardly shrunk."""
+    size = len(sums)
+    ridge = np.eye(size) * RIDGE * max(1.0, sums[-1, size - 1] / 1000)
+    ridge[-1, -1] = 1e-9
+    return np.linalg.solve(sums[:, :size] + ridge, sums[:, size])
+
+
 def _summed(rows: DataFrame, part: callable, size: int) -> np.ndarray | None:
     """The sum over all rows of vectors of a fixed size: by partition, then by group of partitions, then on the driver."""
 
@@ -192,30 +202,28 @@ def fit(stats: DataFrame, labels: DataFrame, usable: Column, label: str = "quali
     size = FEATURES + 1
 
     def normal(batch: pa.RecordBatch) -> np.ndarray:
-        out = np.zeros((size, size + 1))
+        out = np.zeros((FOLDS, size, size + 1))
         for k in range(0, batch.num_rows, 4096):
             some = batch.slice(k, 4096)
-            phi, y = model.lift(_matrix(some.column("stats"))), some.column("y").to_numpy()
-            out[:, :size] += phi.T @ phi
-            out[:, size] += phi.T @ y
+            phi, y, fold = model.lift(_matrix(some.column("stats"))), some.column("y").to_numpy(), some.column("draw").to_numpy() % FOLDS
+            for f in np.unique(fold):
+                mine = phi[fold == f]
+                out[f, :, :size] += mine.T @ mine
+                out[f, :, size] += mine.T @ y[fold == f]
         return out.ravel()
 
-    held = F.col("draw") % 10 == 0
-    total = _summed(rows.where(~held).select("stats", "y"), normal, size * (size + 1))
-    if total is not None:
-        total = total.reshape(size, size + 1)
-        ridge = np.eye(size) * RIDGE * max(1.0, total[-1, size - 1] / 1000)
-        ridge[-1, -1] = 1e-9
-        model.weights = np.linalg.solve(total[:, :size] + ridge, total[:, size])
+    folds = _summed(rows.select("stats", "y", "draw"), normal, FOLDS * size * (size + 1)).reshape(FOLDS, size, size + 1)
+    whole = folds.sum(0)
+    model.weights = solve(whole)
+    others = np.stack([solve(whole - f) for f in folds], 1)  # the weights that a fold is calibrated by
 
     def binned(batch: pa.RecordBatch) -> np.ndarray:
-        raw, y = model.raw(_matrix(batch.column("stats"))), batch.column("y").to_numpy()
+        y, fold = batch.column("y").to_numpy(), batch.column("draw").to_numpy() % FOLDS
+        raw = (model.lift(_matrix(batch.column("stats"))) @ others)[np.arange(len(y)), fold]
         at = np.clip(((raw + 0.5) * BINS / 2).astype(int), 0, BINS - 1)
         return np.concatenate([np.bincount(at, minlength=BINS), np.bincount(at, y, BINS), np.bincount(at, raw, BINS)])
 
-    total = _summed(rows.where(held).select("stats", "y"), binned, 3 * BINS)
-    if total is None or total[:BINS].sum() < 50:
-        total = _summed(rows.select("stats", "y"), binned, 3 * BINS)
+    total = _summed(rows.select("stats", "y", "draw"), binned, 3 * BINS)
     count, good, raw = total.reshape(3, BINS)
     some = count > 0
     # half a row of either label keeps the ends off 0 and 1
