@@ -9,9 +9,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
-from decimal import Decimal, InvalidOperation
+from decimal import Decimal
 
-from pyspark.sql import Column
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import detectors as det
@@ -64,13 +65,29 @@ def _whole(code: str, kind: str) -> Callable[[Column, Step, str], Outcome]:
     return run
 
 
+def exponent_text(value: Column) -> Column:
+    """``digits E exponent`` as a decimal number writes itself: plain with up to six zeros after the point, else scientific.
+
+    Null where the exponent is beyond an integer.
+    """
+    part = lambda k: F.regexp_extract(value, r"\A([+-]?)0*(\d+?)(?:[eE]([+-]?\d+))?\z", k)
+    digits, e = part(2), F.when(part(3) == "", 0).otherwise(part(3).try_cast("int"))
+    n = F.length(digits)
+    high = n - 1 + e
+    point = F.concat(F.left(digits, n + e), F.lit("."), F.right(digits, -e))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - n), digits)
+    mantissa = F.when(n == 1, digits).otherwise(F.concat(F.left(digits, F.lit(1)), F.lit("."), F.right(digits, n - 1)))
+    scientific = F.concat(mantissa, F.when(high < 0, "E").otherwise("E+"), high.cast("string"))
+    text = F.when(e == 0, digits).when((e < 0) & (high >= 0), point).when((e < 0) & (high >= -6), small).otherwise(scientific)
+    return F.when(e.isNotNull(), F.concat(F.when(part(1) == "-", F.when(digits == "0", "").otherwise("-")).otherwise(""), text))
+
+
 def big_decimal(raw: Column, step: Step, locale: str) -> Outcome:
     value = F.regexp_replace(t.strip(raw), " ", "")
     locale = (step.option("locale", locale) or "").strip()
     number = {"pt-br": F.replace(F.replace(value, F.lit("."), F.lit("")), F.lit(","), F.lit(".")), "en-us": F.replace(value, F.lit(","), F.lit(""))}
     if not locale:
-        exponent = t.matches(value, r"[+-]?\d+[eE][+-]?\d{1,2}")
-        plain = F.when(exponent, value.try_cast("decimal(38,0)").cast("string")).when(t.matches(value, r"[+-]?\d+"), value)
+        plain = F.when(t.matches(value, r"[+-]?\d+"), value).when(t.matches(value, r"[+-]?\d+[eE][+-]?\d+"), exponent_text(value))
         failure = F.when(value.rlike("[.,]"), "AMBIGUOUS_DECIMAL").when(plain.isNull(), "INVALID_DECIMAL")
         return _result(plain, failure)
     if locale.lower() not in DECIMAL_GRAMMAR:
@@ -78,14 +95,36 @@ def big_decimal(raw: Column, step: Step, locale: str) -> Outcome:
     return _result(number[locale.lower()], F.when(~t.matches(value, DECIMAL_GRAMMAR[locale.lower()]), "INVALID_DECIMAL"))
 
 
+#: Fields of a date pattern: what a value has in their place. A year of era needs an era in strict parsing; it is read as a year.
+DATE_FIELDS = {"uuuu": r"(\d{4})", "yyyy": r"(\d{4})", "uu": r"(\d{2})", "yy": r"(\d{2})", "MM": r"(\d{2})", "M": r"(\d{1,2})", "dd": r"(\d{2})", "d": r"(\d{1,2})"}
+
+
 def _dated(value: Column, pattern: str) -> Column | None:
-    """The date of a value in a strict pattern of years, months and days; None for a malformed pattern."""
-    spark = pattern.replace("uuuu", "yyyy")
-    parts = re.split(r"(yyyy|MM|dd)", spark)
-    if sorted(p for p in parts[1::2]) != ["MM", "dd", "yyyy"] or any(re.search(r"[A-Za-z]", p) for p in parts[::2]):
+    """The date of a value in a strict pattern of a year, a month and a day, in digits; None for any other pattern."""
+    shape, order = "", []
+    for literal, letters, other in _pattern_parts(pattern):
+        if letters:
+            if letters not in DATE_FIELDS:
+                return None
+            shape += DATE_FIELDS[letters]
+            order.append(letters[0].replace("y", "u"))
+        else:
+            shape += re.escape(literal or other)
+    if sorted(order) != ["M", "d", "u"]:
         return None
-    shape = "".join({"yyyy": r"\d{4}", "MM": r"\d{2}", "dd": r"\d{2}"}.get(p, re.escape(p)) for p in parts)
-    return F.when(t.matches(value, shape), F.try_to_date(value, spark))
+    year, month, day = (F.regexp_extract(value, rf"\A{shape}\z", order.index(x) + 1) for x in "uMd")
+    year = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
+    text = F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
+    return F.when(t.matches(value, shape), F.try_to_date(text, "yyyy-MM-dd"))
+
+
+def _pattern_parts(pattern: str) -> list[tuple[str, str, str]]:
+    """(quoted text, run of one letter, other character) of a date pattern, one of the three filled each time."""
+    found = []
+    for m in re.finditer(r"'((?:[^']|'')*)'|((?:([A-Za-z])\3*))|(.)", pattern, re.DOTALL):
+        quoted = m[1]
+        found.append((("'" if quoted == "" else quoted.replace("''", "'")) if quoted is not None else "", m[2] or "", m[4] or ""))
+    return found
 
 
 def local_date(raw: Column, step: Step, locale: str) -> Outcome:
@@ -142,11 +181,19 @@ def required(raw: Column, value: Column, step: Step) -> Column:
     return F.when(t.blank(raw), "REQUIRED_VALUE_MISSING")
 
 
+def _compiles(pattern: str) -> bool:
+    """Whether the JVM, which runs the pattern, accepts it."""
+    jvm = SparkSession.getActiveSession()._jvm
+    try:
+        jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:
+        return False
+    return True
+
+
 def regex(raw: Column, value: Column, step: Step) -> Column:
     pattern = step.option("pattern")
-    try:
-        re.compile(pattern or "(")
-    except re.error:
+    if pattern is None or not _compiles(pattern):
         return F.lit("INVALID_VALIDATOR_OPTION")
     return F.when(~t.matches(value, pattern), "REGEX_MISMATCH")
 
@@ -163,20 +210,55 @@ def enum(raw: Column, value: Column, step: Step) -> Column:
     return F.when(~value.isin(step.option("values", "").split("|")), "VALUE_NOT_IN_ENUM")
 
 
+NUMBER = r"([+-]?)(?:(\d+)\.?(\d*)|\.(\d+))(?:[eE]([+-]?\d+))?"
+
+
+@dataclass(frozen=True)
+class Magnitude:
+    """A number of any size for comparison: its sign, the power of its first digit and its digits without outer zeros."""
+
+    sign: Column | int
+    power: Column | int
+    digits: Column | str
+
+
+def _magnitude(value: Column) -> Magnitude:
+    part = lambda k: F.regexp_extract(value, rf"\A{NUMBER}\z", k)
+    digits = F.concat(part(2), part(3), part(4))
+    solid = F.ltrim(digits, F.lit("0"))
+    power = F.length(part(2)) - (F.length(digits) - F.length(solid)) - 1 + F.when(part(5) == "", 0).otherwise(part(5).try_cast("int"))
+    return Magnitude(F.when(solid == "", 0).when(part(1) == "-", -1).otherwise(1), power, F.rtrim(solid, F.lit("0")))
+
+
+def _bound(text: str) -> Magnitude | None:
+    if not re.fullmatch(NUMBER, text, re.ASCII):
+        return None
+    sign, digits, exponent = Decimal(text).as_tuple()
+    solid = "".join(map(str, digits)).lstrip("0")
+    return Magnitude((-1 if sign else 1) if solid else 0, len(solid) - 1 + exponent, solid.rstrip("0"))
+
+
+def _beyond(x: Magnitude, b: Magnitude, side: int) -> Column:
+    """Whether x lies above (side 1) or below (side -1) the bound."""
+    if b.sign == 0:
+        return x.sign == side
+    outside = (x.power > b.power) | ((x.power == b.power) & (x.digits > b.digits))
+    inside = (x.power < b.power) | ((x.power == b.power) & (x.digits < b.digits))
+    same = x.sign == b.sign
+    return same & outside if b.sign == side else (~same) | inside
+
+
 def numeric_range(raw: Column, value: Column, step: Step) -> Column:
-    number = F.when(t.matches(value, r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"), value.try_cast("decimal(38,12)"))
-    bad = number.isNull()
-    out = F.lit(False)
-    for name in ("min", "max"):
-        bound = step.option(name)
-        if bound is not None:
-            try:
-                Decimal(bound)
-            except InvalidOperation:
+    number, out = _magnitude(value), F.lit(False)
+    bad = ~t.matches(value, NUMBER) | number.power.isNull()
+    for name, side in (("min", -1), ("max", 1)):
+        text = step.option(name)
+        if text is not None:
+            bound = _bound(text)
+            if bound is None:
                 return F.lit("INVALID_NUMERIC_VALUE")
-            limit = F.lit(bound).cast("decimal(38,12)")
-            out = out | ((number < limit) if name == "min" else (number > limit))
-    return F.when(bad, "INVALID_NUMERIC_VALUE").when(out, "NUMERIC_OUT_OF_RANGE")
+            out = out | _beyond(number, bound, side)
+    return F.when(F.coalesce(bad, F.lit(True)), "INVALID_NUMERIC_VALUE").when(out, "NUMERIC_OUT_OF_RANGE")
 
 
 def date_range(raw: Column, value: Column, step: Step) -> Column:

@@ -1,5 +1,7 @@
 """Steps, plans, dry runs and their stops."""
 
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +113,41 @@ def test_derived_values_run_through_the_steps(spark):
 def test_missing_columns_are_refused(spark):
     with pytest.raises(EngineError, match="PLAN_STRUCTURE_MISMATCH"):
         dry.dry_run(frame_of(spark, []), plan_of(SCHEMA, ["c0", "c9"]), SCHEMA, ["c0", "c1"])
+
+
+def shown(spark, values, *columns):
+    frame = spark.createDataFrame([(v,) for v in values], "v string")
+    return {r[0]: tuple(r[1:]) for r in frame.select("v", *[c.alias(f"x{k}") for k, c in enumerate(columns)]).collect()}
+
+
+def test_numbers_of_any_size(spark):
+    v = F.col("v")
+    plain = steps.big_decimal(v, Step.of("core:big-decimal"), "")
+    long = "9" * 41
+    got = shown(spark, ["1E-5", "15E-1", "1E5", "-12e-3", "12E-9", "1e99999999999", long, "1,5"], plain.value, plain.code)
+    assert [got[x][0] for x in ("1E-5", "15E-1", "1E5", "-12e-3", "12E-9", long)] == ["0.00001", "1.5", "1E+5", "-0.012", "1.2E-8", long]
+    assert got["1e99999999999"] == (None, "INVALID_DECIMAL") and got["1,5"] == (None, "AMBIGUOUS_DECIMAL")
+    values = ["1.0000000000004", "1", "0.99999999999999999", "123456789012345678901234567890", "-5", "1e400", ".5", "5.", "-1e-3", "-0.0010", "-0.00100001", "0", "-0e7", "1e-400"]
+    for low, high in ((None, "1"), ("-1e-3", "5"), ("0", None), ("-1E400", "1.00000000000039"), ("0.5", "0.5")):
+        given = {k: x for k, x in (("min", low), ("max", high)) if x is not None}
+        got = shown(spark, values, steps.numeric_range(v, v, Step.of("core:numeric-range", **given)))
+        for x in values:
+            out = low is not None and Decimal(x) < Decimal(low) or high is not None and Decimal(x) > Decimal(high)
+            assert got[x] == ("NUMERIC_OUT_OF_RANGE" if out else None,), (x, low, high)
+    assert shown(spark, ["", "abc"], steps.numeric_range(v, v, Step.of("core:numeric-range", max="1"))) == {"": ("INVALID_NUMERIC_VALUE",), "abc": ("INVALID_NUMERIC_VALUE",)}
+
+
+def test_patterns_are_those_of_the_machine_that_runs_them(spark):
+    v = F.col("v")
+    check = lambda pattern: shown(spark, ["a"], steps.regex(v, v, Step.of("core:regex", pattern=pattern)))["a"][0]
+    assert check("(?P<x>a)") == "INVALID_VALIDATOR_OPTION" and check("(?<x>a)") is None and check(r"\p{javaUpperCase}") == "REGEX_MISMATCH"
+
+
+def test_date_patterns(spark):
+    v = F.col("v")
+    date = lambda pattern: (lambda o: F.coalesce(o.value, o.code))(steps.local_date(v, Step.of("core:local-date", formats=pattern), ""))
+    values = ["5/1/2026", "05/01/2026", "31/2/2026", "5 de 1 de 2026", "26-1-5"]
+    got = shown(spark, values, date("d/M/uuuu"), date("dd/MM/uuuu"), date("d 'de' M 'de' uuuu"), date("uu-M-d"), date("QQQ"))
+    assert got["5/1/2026"] == ("2026-01-05", "INVALID_DATE", "INVALID_DATE", "INVALID_DATE", "INVALID_DATE")
+    assert got["05/01/2026"][:2] == ("2026-01-05", "2026-01-05") and got["31/2/2026"][0] == "INVALID_DATE"
+    assert got["5 de 1 de 2026"][2] == "2026-01-05" and got["26-1-5"][3] == "2026-01-05"
