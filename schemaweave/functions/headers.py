@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby, pairwise
 
 from ..model import fingerprint
 
@@ -21,19 +22,39 @@ class Header:
     compact: str
 
 
+#: Classes of neighbouring ASCII characters between which a word ends: camel case, and letters beside digits.
+CUTS = {"lu", "du", "ld", "ud", "dl"}
+
+
+def _class(char: str) -> str:
+    return "l" if "a" <= char <= "z" else "u" if "A" <= char <= "Z" else "d" if "0" <= char <= "9" else "-"
+
+
+def words_of(text: str) -> Iterator[str]:
+    """Runs of ASCII letters and digits, cut where their class changes, in lower case and without accents."""
+    classes = [_class(c) for c in text]
+    ends = [k + 1 for k, two in enumerate(zip(classes, classes[1:], strict=False)) if "".join(two) in CUTS]
+    for start, end in pairwise([0, *ends, len(text)]):
+        parts = unicodedata.normalize("NFD", text[start:end].lower())
+        base = (c for c in parts if unicodedata.category(c)[0] != "M")
+        for plain, run in groupby(base, lambda c: c.isascii() and c.isalnum()):
+            if plain:
+                yield "".join(run)
+
+
 @dataclass(frozen=True)
 class HeaderNormalizer:
-    expansions: dict[str, str] = field(default_factory=dict)
+    """``expansions`` give the word, or the list of words, that a word stands for."""
+
+    expansions: dict[str, str | list[str]] = field(default_factory=dict)
 
     def __call__(self, header: str | None) -> Header:
-        text = unicodedata.normalize("NFKC", header or "").strip(WHITE)
-        text = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", text)
-        text = re.sub(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])", " ", text)
-        text = unicodedata.normalize("NFD", text.lower())
-        text = "".join(c for c in text if not unicodedata.category(c).startswith("M"))
-        tokens = [self.expansions.get(t, t) for t in re.sub(r"[^A-Za-z0-9]+", " ", text).split()]
-        comparable = " ".join(tokens)
-        return Header(header or "", comparable, tuple(comparable.split()), comparable.replace(" ", ""))
+        said = header or ""
+        words: list[str] = []
+        for word in words_of(unicodedata.normalize("NFKC", said).strip(WHITE)):
+            full = self.expansions.get(word, word)
+            words += full.split() if isinstance(full, str) else [w for part in full for w in part.split()]
+        return Header(said, " ".join(words), tuple(words), "".join(words))
 
     @property
     def fingerprint(self) -> str:

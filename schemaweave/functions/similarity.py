@@ -26,6 +26,12 @@ def dice(a: Column, b: Column) -> Column:
     return _degenerate(F.size(x) == 0, F.size(y) == 0, 2.0 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y)))
 
 
+def dice_value(a: str, b: str) -> float:
+    """The same for two texts on the driver."""
+    x, y = set(a.split()), set(b.split())
+    return 2 * len(x & y) / (len(x) + len(y)) if x and y else float(not x and not y)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     x, y = tokens(a), tokens(b)
     return _degenerate(F.size(x) == 0, F.size(y) == 0, F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
