@@ -135,7 +135,8 @@ class Engine:
         started, options, source = time.monotonic(), options or {}, self.source(given)
         rows, structure = self._open(source, options)
         before = source.sha256(self.spark)
-        profiles = guarded(lambda: profile(rows.frame, structure.columns, self.detectors, self.config))
+        with rows.spread() as frame:
+            profiles = guarded(lambda: profile(frame, structure.columns, self.detectors, self.config))
         self._timed(started)
         n = profiles[0].rows if profiles else 0
         if n > self.config.limits.max_records:
@@ -177,7 +178,8 @@ class Engine:
         if any(f.required and f.id not in mapped for f in schema.fields):
             raise IncompatiblePlan("INCOMPLETE_PLAN", "a required target is not mapped")
         rows, structure = self._open(source, options)
-        result = guarded(lambda: dry.dry_run(rows.frame, plan, schema, [c.id for c in structure.columns], run))
+        with rows.spread() as frame:
+            result = guarded(lambda: dry.dry_run(frame, plan, schema, [c.id for c in structure.columns], run))
         self._timed(started)
         if source.sha256(self.spark) != plan.source_fingerprint:
             raise IncompatiblePlan("INVALIDATE_PLAN", "the source changed during the dry run")

@@ -44,19 +44,20 @@ def _date_ambiguous(value: Column) -> Column:
 
 
 def cpf_digits(value: Column) -> Column:
-    return F.regexp_replace(value, r"[.\-]", "")
+    return F.translate(value, ".-", "")
 
 
 def cpf_valid_digits(digits: Column) -> Column:
     """Eleven digits, not all equal, both check digits right; false for any other text."""
-    ok = matches(digits, r"\d{11}") & ~matches(digits, r"(\d)\1{10}")
 
-    def check(n: int) -> Column:
-        total = sum(((F.substring(digits, k + 1, 1).try_cast("int") * (n + 1 - k)) for k in range(n)), F.lit(0))
-        rest = (total * 10) % 11 % 10
-        return rest == F.substring(digits, n + 1, 1).try_cast("int")
+    def right(d: Column) -> Column:
+        number = [F.substring(d, k + 1, 1).cast("int") for k in range(11)]
+        check = lambda n: sum((number[k] * (n + 1 - k) for k in range(n)), F.lit(0)) * 10 % 11 % 10 == number[n]
+        return check(9) & check(10)
 
-    return F.coalesce(ok & check(9) & check(10), F.lit(False))
+    # the lambda names the digits once; the sums are not built for texts of another shape
+    ok = matches(digits, r"\d{11}") & ~matches(digits, r"(\d)\1{10}")
+    return F.coalesce(F.when(ok, F.element_at(F.transform(F.array(digits), right), 1)), F.lit(False))
 
 
 def phone_digits(value: Column) -> Column:
@@ -73,7 +74,7 @@ CPF = Detector("br:cpf", lambda v: matches(v, r"\d{11}|\d{3}\.\d{3}\.\d{3}-\d{2}
 PHONE = Detector(
     "br:phone",
     _phone_shape,
-    lambda v: _phone_shape(v) & F.coalesce(F.substring(phone_digits(v), 1, 2).try_cast("int") >= 11, F.lit(False)),
+    lambda v: F.when(_phone_shape(v), F.coalesce(F.substring(phone_digits(v), 1, 2).try_cast("int") >= 11, F.lit(False))).otherwise(False),
     lambda v: matches(v, r"\d{11}"),
     strong="certain",
 )

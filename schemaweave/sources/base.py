@@ -10,10 +10,12 @@ import os
 import re
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from itertools import groupby
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,7 +58,15 @@ class Source:
     def _frame(self, spark: SparkSession) -> DataFrame:
         return spark.read.format("binaryFile").load(self.path)
 
+    def _single(self, spark: SparkSession):
+        """(file system, path) where the source is one plain file, else None."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        return (system, path) if system.exists(path) and system.getFileStatus(path).isFile() else None
+
     def size(self, spark: SparkSession) -> int:
+        if found := self._single(spark):
+            return int(found[0].getFileStatus(found[1]).getLen())
         try:
             row = self._frame(spark).agg(F.sum("length").alias("n")).first()
         except PySparkException:
@@ -68,6 +78,12 @@ class Source:
         return bytes(rows[0].content) if rows else b""
 
     def head(self, spark: SparkSession, size: int = 1 << 20) -> bytes:
+        if found := self._single(spark):
+            stream = found[0].open(found[1])
+            try:
+                return bytes(stream.readNBytes(size))
+            finally:
+                stream.close()
         if self.size(spark) <= WHOLE_BYTES:
             return self.content(spark)[:size]
         rows = spark.read.text(self.path).limit(200).collect()
@@ -81,11 +97,12 @@ class Source:
         self.size(spark)  # refuses a missing source
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
         hashes = {}
-        for r in self._frame(spark).select("path").collect():
-            path = jvm.org.apache.hadoop.fs.Path(r.path)
+        files = [self.path] if self._single(spark) else [r.path for r in self._frame(spark).select("path").collect()]
+        for name in files:
+            path = jvm.org.apache.hadoop.fs.Path(name)
             stream = path.getFileSystem(conf).open(path)
             try:
-                hashes[r.path] = jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+                hashes[name] = jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
             finally:
                 stream.close()
         if len(hashes) == 1:
@@ -118,6 +135,19 @@ class Rows:
     warnings: list[str] = field(default_factory=list)
     ordered: bool = False  # one task gives all rows in order
 
+    @contextmanager
+    def spread(self) -> Iterator[DataFrame]:
+        """The rows for several passes: what one task has parsed is dealt out to all cores and kept, on disk where it is large."""
+        if not self.ordered:
+            yield self.frame
+            return
+        spark = self.frame.sparkSession
+        kept = self.frame.repartition(2 * spark.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            yield kept
+        finally:
+            kept.unpersist()
+
 
 def check_options(options: dict[str, str], known: set[str]) -> None:
     if set(options) - known:
