@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from .functions import decimals, headers, sketches
 from .functions import detectors as det
 from .functions import similarity as sim
 from .functions import text as t
-from .model import EngineConfig, TargetField, TargetSchema
+from .model import EngineConfig, SourceColumn, TargetField, TargetSchema
 from .operators import dryrun as dry
 from .operators import evaluate, knowledge, layout, scoring
 from .operators import profile as prof
@@ -117,15 +118,21 @@ INFERRED_SQL = "inf AS (SELECT col, CASE WHEN max(n) >= 0.8 * max(total) THEN ma
 
 # Profile
 
+MIXED_COLUMNS = [c for _, columns in MIXED.values() for c in columns]
+
+
+def _profiles(cells: DataFrame, names: list[str], values: bool = True) -> list[prof.ColumnProfile]:
+    """The engine's profiles of classified cells, without detectors and samples."""
+    columns = tuple(SourceColumn(c, k, c, c) for k, c in enumerate(names))
+    return prof.profile_cells(cells, columns, (), EngineConfig(sample_size=0), locations=False, values=values)
+
 
 @query(MIXED_CELLS_SQL + f", {VOTES_SQL}, {INFERRED_SQL}, c AS (SELECT col, raw, count(*) AS n FROM cells WHERE NOT blank GROUP BY col, raw) "
        "SELECT col AS column_name, inferred, CAST(sum(n) AS BIGINT) AS observed, count(*) AS distinct_values, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy FROM c JOIN inf USING (col) GROUP BY col, inferred")
 def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = mixed(spark, sf_dir)
-    cube = prof.shape_cube(cells).where("type <> 'EMPTY'").groupBy("column", "type").agg(F.sum("n").alias("n"))
-    inferred = cube.groupBy("column").agg(F.when(F.max("n") >= 0.8 * F.sum("n"), F.max_by("type", "n")).otherwise("MIXED").alias("inferred"))
-    summary = prof.value_summary(prof.value_counts(cells))
-    return summary.join(inferred, "column").select(F.col("column").alias("column_name"), "inferred", F.col("nonblank").alias("observed"), F.col("distinct").alias("distinct_values"), F.round("entropy", 6).alias("entropy"))
+    found = _profiles(mixed(spark, sf_dir), MIXED_COLUMNS)
+    rows = [(p.column.id, p.inferred, p.observed, p.distinct, p.entropy) for p in found]
+    return spark.createDataFrame(rows, "column_name string, inferred string, observed long, distinct_values long, entropy double").withColumn("entropy", F.round("entropy", 6))
 
 
 @query(DIRTY_CELLS_SQL + " SELECT col AS column_name, count(*) AS n_rows, count(*) FILTER (blank) AS nulls, min(len) FILTER (NOT blank) AS min_length, max(len) FILTER (NOT blank) AS max_length, round(avg(len) FILTER (NOT blank), 9) AS avg_length, round(count(*) FILTER (blank) / count(*), 9) AS null_ratio FROM cells GROUP BY col")
@@ -146,9 +153,8 @@ def physical_type_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(DIRTY_CELLS_SQL + f", {VOTES_SQL}, {INFERRED_SQL} SELECT col AS column_name, inferred, round(1 - max(n) / max(total), 9) AS mixed_ratio FROM v JOIN tot USING (col) JOIN inf USING (col) GROUP BY col, inferred")
 def inferred_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    votes = prof.shape_cube(dirty_cells(spark, sf_dir)).where("type <> 'EMPTY'").groupBy("column", "type").agg(F.sum("n").alias("n"))
-    share = F.max("n") / F.sum("n")
-    return votes.groupBy(F.col("column").alias("column_name")).agg(F.when(share >= 0.8, F.max_by("type", "n")).otherwise("MIXED").alias("inferred"), F.round(1 - share, 9).alias("mixed_ratio"))
+    found = _profiles(dirty_cells(spark, sf_dir), list(DIRTY), values=False)
+    return spark.createDataFrame([(p.column.id, p.inferred, p.mixed_ratio) for p in found], "column_name string, inferred string, mixed_ratio double").withColumn("mixed_ratio", F.round("mixed_ratio", 9))
 
 
 @query(MIXED_CELLS_SQL + " SELECT col AS column_name, pattern, count(*) AS n FROM cells WHERE NOT blank GROUP BY col, pattern")
@@ -182,9 +188,10 @@ def top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(MIXED_CELLS_SQL + ", x AS (SELECT col, TRY_CAST(replace(v, ',', '.') AS DOUBLE) AS d FROM cells WHERE type IN ('INTEGER', 'DECIMAL')) SELECT col AS column_name, count(d) AS n, round(avg(d), 4) AS mean, round(var_pop(d) / avg(d) / avg(d), 6) AS relative_variance, min(d) AS low, max(d) AS high FROM x GROUP BY col")
 def numeric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = mixed(spark, sf_dir).where("number IS NOT NULL")
-    mean = F.avg("number")
-    return cells.groupBy(F.col("column").alias("column_name")).agg(F.count("*").alias("n"), F.round(mean, 4).alias("mean"), F.round(F.var_pop("number") / mean / mean, 6).alias("relative_variance"), F.min("number").alias("low"), F.max("number").alias("high"))
+    found = _profiles(mixed(spark, sf_dir), MIXED_COLUMNS, values=False)
+    rows = [(p.column.id, x["count"], x["mean"], x["variance"] / x["mean"] ** 2, x["min"], x["max"]) for p in found if (x := p.numeric)]
+    made = spark.createDataFrame(rows, "column_name string, n long, mean double, relative_variance double, low double, high double")
+    return made.withColumns({"mean": F.round("mean", 4), "relative_variance": F.round("relative_variance", 6)})
 
 
 # wrapping multiplication modulo 2**64 in two halves
@@ -231,19 +238,12 @@ SELECT col AS column_name, 'NULL_PRESENT' AS code, '' AS bucket, nulls AS n, CAS
 UNION ALL SELECT col, CASE WHEN top >= 0.8 * observed THEN 'PHYSICAL_TYPE_OUTLIER' ELSE 'MIXED_PHYSICAL_TYPES' END, '', CAST(observed - top AS BIGINT), NULL FROM t WHERE observed > top
 UNION ALL SELECT col, code, bucket, n, first FROM q WHERE observed >= 20 AND buckets >= 2 AND top >= 0.8 * observed AND n <= 0.05 * observed""")
 def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cube = prof.shape_cube(dirty_cells(spark, sf_dir))
-    full, none = F.col("type") != "EMPTY", F.lit(None).cast("long")
-    sums = cube.groupBy("column").agg(F.coalesce(F.sum(F.when(~full, F.col("n"))), F.lit(0)).alias("nulls"), F.coalesce(F.sum(F.when(full, F.col("n"))), F.lit(0)).alias("observed"))
-    out = sums.where("nulls > 0 AND observed > 0").select("column", F.lit("NULL_PRESENT").alias("code"), F.lit("").alias("bucket"), F.col("nulls").alias("n"), none.alias("first_record"))
-    types = cube.where(full).groupBy("column", "type").agg(F.sum("n").alias("n")).groupBy("column").agg(F.max("n").alias("top"), F.sum("n").alias("observed"))
-    code = F.when(F.col("top") >= 0.8 * F.col("observed"), "PHYSICAL_TYPE_OUTLIER").otherwise("MIXED_PHYSICAL_TYPES")
-    out = out.union(types.where("observed > top").select("column", code, F.lit(""), F.col("observed") - F.col("top"), none))
-    for name, key in (("RARE_FORMAT", "pattern"), ("RARE_LENGTH", "bucket")):
-        buckets = cube.where(full).groupBy("column", F.col(key).alias("b")).agg(F.sum("n").alias("n"), F.min("first.record_number").alias("first"))
-        spread = buckets.groupBy("column").agg(F.max("n").alias("top"), F.sum("n").alias("observed"), F.count("*").alias("buckets"))
-        rare = buckets.join(spread, "column").where("observed >= 20 AND buckets >= 2 AND top >= 0.8 * observed AND n <= 0.05 * observed")
-        out = out.union(rare.select("column", F.lit(name), "b", "n", "first"))
-    return out.withColumnRenamed("column", "column_name")
+    rows = []
+    for p in _profiles(dirty_cells(spark, sf_dir), list(DIRTY), values=False):
+        for a in p.anomalies:
+            bucket = a.explanation.removeprefix("rare bucket ") if a.code.startswith("RARE_") else ""
+            rows.append((p.column.id, a.code, bucket, a.count, a.locations[0][0] if a.locations else None))
+    return spark.createDataFrame(rows, "column_name string, code string, bucket string, n long, first_record long")
 
 
 @query(DIRTY_CELLS_SQL + " SELECT col AS column_name, k AS record_number, place FROM (SELECT col, k, row_number() OVER (PARTITION BY col ORDER BY k) AS place FROM cells WHERE blank) WHERE place <= 3")
@@ -287,9 +287,10 @@ for _name, _d, _c, _sql in (
 
 @query("WITH d AS (" + SQL["semantic_phone"] + ") SELECT observed, round(valid / observed, 9) AS validity, round(least(1.0, observed / 20) * (1 - least(1.0, ambiguous / observed)), 9) AS reliability, round(valid / observed * least(1.0, observed / 20) * (1 - least(1.0, ambiguous / observed)), 9) AS confidence FROM d")
 def reliability_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    validity = F.col("valid") / F.col("observed")
-    trust = F.least(F.lit(1.0), F.col("observed") / 20) * (1 - F.least(F.lit(1.0), F.col("ambiguous") / F.col("observed")))
-    return QUERIES["semantic_phone"](spark, sf_dir).select("observed", F.round(validity, 9).alias("validity"), F.round(trust, 9).alias("reliability"), F.round(validity * trust, 9).alias("confidence"))
+    r = QUERIES["semantic_phone"](spark, sf_dir).first()
+    e = prof.evidence_of(det.PHONE, r.observed, r["shape"], r.valid, r.ambiguous, 20)
+    made = spark.createDataFrame([(e.observed, e.validity, e.reliability, e.confidence)], "observed long, validity double, reliability double, confidence double")
+    return made.select("observed", *[F.round(c, 9).alias(c) for c in ("validity", "reliability", "confidence")])
 
 
 # Similarity
@@ -364,7 +365,9 @@ SELECT k, round(0.4 * (4 * common / (tx + ty) + common / (tx + ty - common)) / 3
 @query(f"SELECT k, round((CAST(2.0 * len(list_intersect({TX}, {TY})) / (len({TX}) + len({TY})) AS DOUBLE) + CASE WHEN x = y THEN 1.0 ELSE CAST(1.0 AS DOUBLE) - CAST(levenshtein(replace(x, ' ', ''), replace(y, ' ', '')) AS DOUBLE) / greatest(length(replace(x, ' ', '')), length(replace(y, ' ', ''))) END) / 2, 9) AS value FROM ({NAMES_SQL})")
 def baseline_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     squeeze = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
-    return name_pairs(spark, sf_dir).select("k", F.round((sim.dice(F.col("x"), F.col("y")) + sim.levenshtein(squeeze("x"), squeeze("y"))) / 2, 9).alias("value"))
+    names = F.array(F.struct(F.col("y").alias("name_comparable"), squeeze("y").alias("name_compact")))
+    pairs = name_pairs(spark, sf_dir).select(F.col("k").alias("column_id"), F.lit("t").alias("target"), F.col("x").alias("comparable"), squeeze("x").alias("compact"), names.alias("names"))
+    return scoring.with_lexical(pairs, "baseline").select(F.col("column_id").alias("k"), F.round("lexical", 9).alias("value"))
 
 
 @query("SELECT r_regionkey AS k, lower(r_name) AS comparable, replace(lower(r_name), ' ', '') AS compact, CAST(len(string_split(lower(r_name), ' ')) AS BIGINT) AS tokens FROM region")
@@ -379,6 +382,21 @@ def header_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k"), run("r_name").alias("h")).select("k", "h.*")
 
 
+@query("SELECT c_custkey AS k, 'acao cust no ' || c_custkey || ' data' AS comparable, 'acaocustno' || c_custkey || 'data' AS compact, CAST(5 AS BIGINT) AS tokens FROM customer")
+def header_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accents, camel case, digits and an expansion."""
+    ship(spark)
+    normalize = headers.HeaderNormalizer(headers.PT_BR)
+
+    @F.pandas_udf("comparable string, compact string, tokens long")
+    def run(names: pd.Series) -> pd.DataFrame:
+        found = [normalize(n) for n in names]
+        return pd.DataFrame({"comparable": [h.comparable for h in found], "compact": [h.compact for h in found], "tokens": [len(h.tokens) for h in found]})
+
+    header = F.concat(F.lit(" Ação  custNo"), F.col("c_custkey").cast("string"), F.lit("Dt"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), run(header).alias("h")).select("k", "h.*")
+
+
 # Scoring
 
 TARGETS = [("order.key", "orderkey"), ("order.customer", "custkey"), ("order.status", "order status"), ("order.price", "total price"), ("order.date", "order date"), ("order.priority", "priority"), ("order.comment", "comment")]
@@ -404,6 +422,16 @@ def _ranked(spark: SparkSession) -> DataFrame:
     return scoring.ranked(scoring.scored(scoring.with_lexical(pairs, "baseline"), EngineConfig()))
 
 
+def _decided(spark: SparkSession) -> list[tuple[str, list, scoring.Decision]]:
+    """Each column with its candidates in order and the engine's decision."""
+    found: dict[str, list] = {}
+    margins = {}
+    for r in _ranked(spark).orderBy("column_id", "rank").collect():
+        found.setdefault(r.column_id, []).append(scoring._candidate(r, EngineConfig()))
+        margins[r.column_id] = r.margin
+    return [(c, few, scoring.decide(c, [x for x in few if x.eligible], margins[c], (), EngineConfig())) for c, few in found.items()]
+
+
 @query(RANKED_SQL + "SELECT column_id, target, rank, round(score, 9) AS score FROM r WHERE rank <= 3")
 def candidate_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(spark).where("rank <= 3").select("column_id", "target", F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"))
@@ -411,13 +439,14 @@ def candidate_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(RANKED_SQL + "SELECT r.column_id, target, round(margin, 9) AS margin, CASE WHEN score < 0.5 THEN 'NO_MATCH' WHEN score >= 0.7 THEN 'REVIEW_RECOMMENDED' ELSE 'LOW_CONFIDENCE' END AS status FROM r JOIN m USING (column_id) WHERE rank = 1")
 def decision_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = F.when(F.col("score") < 0.5, "NO_MATCH").when(F.col("score") >= 0.7, "REVIEW_RECOMMENDED").otherwise("LOW_CONFIDENCE")
-    return _ranked(spark).where("rank = 1").select("column_id", "target", F.round("margin", 9).alias("margin"), status.alias("status"))
+    rows = [(c, found[0].target, d.margin, d.status) for c, found, d in _decided(spark)]
+    return spark.createDataFrame(rows, "column_id string, target string, margin double, status string").withColumn("margin", F.round("margin", 9))
 
 
 @query(RANKED_SQL + "SELECT target, count(*) AS claims FROM r WHERE rank = 1 AND score >= 0.5 GROUP BY target HAVING count(*) > 1")
 def target_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(spark).where("rank = 1 AND score >= 0.5").groupBy("target").agg(F.count("*").alias("claims")).where("claims > 1")
+    schema = TargetSchema("orders", "1", [TargetField(i, n) for i, n in TARGETS])
+    return spark.createDataFrame(list(scoring.collisions([d for _, _, d in _decided(spark)], schema).items()), "target string, claims long")
 
 
 @query("SELECT column_id, count(*) FILTER (kept) AS retained, count(*) FILTER (NOT kept) AS pruned FROM (SELECT column_id, s.name = replace(t.name, ' ', '') OR len(list_intersect(string_split(s.name, ' '), string_split(t.name, ' '))) > 0 AS kept FROM "
@@ -685,6 +714,13 @@ def dry_run_fail_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(r.termination_code, r.rows_processed, r.total_errors)], "termination_code string, rows_processed long, total_errors long")
 
 
+@query(DRY_SQL + "SELECT count(*) AS rows_processed, count(*) FILTER (e = 0 AND w = 0) AS rows_valid, count(*) FILTER (e > 0) AS rows_skipped, CAST(0 AS BIGINT) AS rows_invalid, false AS terminated FROM r")
+def dry_run_skip_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    r = dry.dry_run(dirty(spark, sf_dir), dry_plan(), DRY_SCHEMA, list(DIRTY), dry.DryRunOptions("SKIP_ROW", max_errors=2**31 - 1))
+    return spark.createDataFrame([(r.rows_processed, r.rows_valid, r.rows_skipped, r.rows_invalid, r.terminated)], "rows_processed long, rows_valid long, rows_skipped long, rows_invalid long, terminated boolean")
+
+
 # Evaluation
 
 LABELS = [("d", "c0", "a", "s:x", False), ("d", "c1", "b", None, False), ("d", "c2", None, None, True), ("d", "c3", "c", "s:y", True), ("e", "c0", None, "s:x", False), ("e", "c9", "z", None, False)]

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -208,7 +209,15 @@ def dry_run(rows: DataFrame, plan: Plan, schema: TargetSchema, columns: list[str
     for b in plan.mapped:
         if set(b.projection.sources) - set(columns) or schema.field(b.target) is None:
             raise EngineError("PLAN_STRUCTURE_MISMATCH", "the plan names an unavailable column or field")
-    all_rows = measured(evaluated(rows, plan, schema, columns))
+    all_rows = measured(evaluated(rows, plan, schema, columns)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _run(all_rows, plan, options)
+    finally:
+        all_rows.unpersist()
+
+
+def _run(all_rows: DataFrame, plan: Plan, options: DryRunOptions) -> DryRunResult:
+    """The result of measured rows; they are evaluated once and read for counters, the stop and the issues."""
     result = DryRunResult(plan.plan_id, fields_mapped=len(plan.mapped))
     first = counters(all_rows).first()
     stop = None

@@ -7,6 +7,8 @@ computed where Catalyst or Arrow can, and ranks, margins and collisions are wind
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -218,6 +220,12 @@ def _candidate(r, config: EngineConfig) -> Candidate:
     return Candidate(r.target, r.display_name, r.score, r.coverage, r.confidence, r.eligible, tuple(parts), why)
 
 
+def collisions(decisions: Iterable[Decision], schema: TargetSchema) -> dict[str, int]:
+    """The exclusive targets that several columns claim, and how many do."""
+    claims = Counter(d.target for d in decisions if d.target and schema.field(d.target).exclusive)
+    return {target: n for target, n in claims.items() if n > 1}
+
+
 def score(spark: SparkSession, profiles: list[ColumnProfile], schema: TargetSchema, config: EngineConfig, normalizer: HeaderNormalizer, evidence: DataFrame | None = None) -> Scored:
     columns, targets = features(spark, profiles, normalizer), target_frame(spark, schema, normalizer)
     pairs = generated(paired(columns, targets, history_frame(evidence, spark, schema)), config).persist()
@@ -243,11 +251,7 @@ def score(spark: SparkSession, profiles: list[ColumnProfile], schema: TargetSche
     eligible = {c: [x for x in found if x.eligible] for c, found in reported.items()}
     decisions = {c: decide(c, eligible[c], margins.get(c), (), config) for c in reported}
     unmatched = [c for c, d in decisions.items() if d.target is None]
-    owners: dict[str, int] = {}
-    for d in decisions.values():
-        if d.target and schema.field(d.target).exclusive:
-            owners[d.target] = owners.get(d.target, 0) + 1
-    collided = sorted(x for x, n in owners.items() if n > 1)
+    collided = sorted(collisions(decisions.values(), schema))
     for c, d in decisions.items():
         if d.target in collided:
             decisions[c] = decide(c, eligible[c], d.margin, ("exclusive target collision",), config)

@@ -112,6 +112,8 @@ def _dated(value: Column, pattern: str) -> Column | None:
             shape += re.escape(literal or other)
     if sorted(order) != ["M", "d", "u"]:
         return None
+    if not {"uu", "yy", "M", "d"} & {letters for _, letters, _ in _pattern_parts(pattern)}:
+        return F.when(t.matches(value, shape), F.try_to_date(value, pattern.replace("uuuu", "yyyy")))
     year, month, day = (F.regexp_extract(value, rf"\A{shape}\z", order.index(x) + 1) for x in "uMd")
     year = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
     text = F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
