@@ -25,7 +25,7 @@ like each other when their texts link; other columns are ignored; an empty table
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -127,7 +127,7 @@ def _hint(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_IDS else df
 
 
-def verify(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, threshold: int, sets_of: Callable[[pa.Array], list[np.ndarray]] = shingles) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= threshold * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,9 +136,9 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
             for k in range(0, batch.num_rows, 256):
                 some = batch.slice(k, 256)
                 a, b = some.column("a").to_pylist(), some.column("b").to_pylist()
-                lefts = shingles(some.column("text_a"))
+                lefts = sets_of(some.column("text_a"))
                 fresh = [i for i in range(len(b)) if (i == 0 or b[i] != b[i - 1]) and b[i] not in cache]
-                rights = shingles(some.column("text_b").take(pa.array(fresh, pa.int64())))
+                rights = sets_of(some.column("text_b").take(pa.array(fresh, pa.int64())))
                 if len(cache) > 64:
                     cache = {x: cache[x] for x in b if x in cache}
                 cache.update({b[i]: s for i, s in zip(fresh, rights, strict=True)})
