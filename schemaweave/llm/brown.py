@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import stash
+from .store import stash, thrifty
 from .tokens import Words, pieces, sums_by
 
 TOP, TAILS, CLASSES = 1000, 1000, 64
@@ -82,7 +82,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         if kept:
             yield flush()
 
-    rows = docs.select("text").mapInArrow(run, "hash long, tail int, n long")
+    rows = docs.select("text").mapInArrow(thrifty(run), "hash long, tail int, n long")
     return rows.groupBy("hash").agg(F.first("tail").alias("tail"), F.sum("n").alias("n"))
 
 
@@ -131,7 +131,7 @@ def count_pairs(docs: DataFrame, types: Types) -> DataFrame:
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array((at // total).astype(np.int32)), pa.array((at % total).astype(np.int32)), pa.array(sums[at])], ["left", "right", "n"])
 
-    return docs.select("text").mapInArrow(run, "left int, right int, n long").groupBy("left", "right").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(thrifty(run), "left int, right int, n long").groupBy("left", "right").agg(F.sum("n").alias("n"))
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -213,7 +213,7 @@ def count_contexts(docs: DataFrame, types: Types, of: np.ndarray) -> DataFrame:
         if kept:
             yield flush()
 
-    rows = docs.select("text").mapInArrow(run, "hash long, near int, n long").repartition("hash")
+    rows = docs.select("text").mapInArrow(thrifty(run), "hash long, near int, n long").repartition("hash")
     return rows.groupBy("hash", "near").agg(F.sum("n").alias("n"))
 
 
@@ -241,7 +241,7 @@ def assign(contexts: DataFrame, g: np.ndarray) -> DataFrame:
 
     # collect_list in the order of ``near`` keeps the sums of floats, and so ties, the same in every run
     lists = contexts.groupBy("hash").agg(F.sort_array(F.collect_list(F.struct("near", "n"))).alias("seen"), F.sum("n").alias("n"))
-    return lists.where(F.col("n") >= 2 * SMALL).select("hash", "seen").mapInArrow(run, "hash long, class int")
+    return lists.where(F.col("n") >= 2 * SMALL).select("hash", "seen").mapInArrow(thrifty(run), "hash long, class int")
 
 
 def count_steps(docs: DataFrame, types: Types, of: np.ndarray, vocabulary: DataFrame) -> np.ndarray:
@@ -266,7 +266,7 @@ def count_steps(docs: DataFrame, types: Types, of: np.ndarray, vocabulary: DataF
         yield pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.int32()), pa.array((at // CLASSES).astype(np.int32)), pa.array((at % CLASSES).astype(np.int32)), pa.array(sums[at])], names)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "text")
-    parts = stash(rows.mapInArrow(run, "row_id long, pos long, hash long, tail int, before int, after int, n long"), "steps")
+    parts = stash(rows.mapInArrow(thrifty(run), "row_id long, pos long, hash long, tail int, before int, after int, n long"), "steps")
     near = placed(parts.where("hash IS NOT NULL"), vocabulary, types, of)
     far = near.select(F.explode(F.array(F.struct(F.col("before").alias("left"), F.col("class").alias("right")), F.struct(F.col("class").alias("left"), F.col("after").alias("right")))).alias("p"))
     far = far.select("p.left", "p.right", F.lit(1).cast("long").alias("n")).where("right >= 0")
@@ -358,7 +358,8 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     tail_n[tails["tail"]], tail_v[tails["tail"]] = tails["n"], tails["v"]
     one, two = float(tails["one"].sum()), float(tails["two"].sum())
     discount = min(0.95, max(0.05, one / max(one + 2 * two, 1)))
-    unseen = np.log10(np.where(tail_n > 0, discount * tail_v / np.maximum(tail_n, 1) / (tail_v + 1), 1.0))
+    # a group without training words is taken to have as many unseen ones as an average group has words
+    unseen = np.log10(np.where(tail_n > 0, discount * tail_v / np.maximum(tail_n, 1) / (tail_v + 1), 1 / (max(1.0, tail_v.mean()) + 1)))
     ends = counts.where(F.col("hash") == int(END.view(np.int64))).first()
     type_n = np.concatenate([[ends.n if ends else 0], seeds.counts[single], joined_n, tail_n]).astype(float)
     class_n = np.bincount(of, type_n, CLASSES)
@@ -413,7 +414,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, keys: tuple[str, ...
     end_count = int(end.n) if end else 0
     rows = docs.select(*keys, F.monotonically_increasing_id().alias("row_id"), F.col("text").alias("text__"))
     schema = ", ".join([f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys] + [PARTIAL])
-    parts = stash(rows.mapInArrow(run, schema), "word-scores")
+    parts = stash(rows.mapInArrow(thrifty(run), schema), "word-scores")
     if model.n == 0:
         model_score = F.col("base_score")
     else:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rules import SYMBOL, _lines
-from .store import stash
+from .store import stash, thrifty
 from .tokens import Words, mix, pieces, repeated, sums_by
 
 FEATURES = 384
@@ -105,7 +105,7 @@ def features(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), flat], [*keys, "stats"])
 
     rows = docs.select(*keys, F.col("text").alias("text__"))
-    return rows.mapInArrow(run, ", ".join([f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys] + ["stats array<float>"]))
+    return rows.mapInArrow(thrifty(run), ", ".join([f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys] + ["stats array<float>"]))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -245,4 +245,4 @@ def score(stats: DataFrame, model: Model | None, keys: tuple[str, ...]) -> DataF
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(scores)], [*keys, "score"])
 
     rows = stats.select(*keys, "stats")
-    return rows.mapInArrow(run, ", ".join([f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys] + ["score double"]))
+    return rows.mapInArrow(thrifty(run), ", ".join([f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys] + ["score double"]))

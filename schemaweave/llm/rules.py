@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import thrifty
 from .tokens import Words, pieces, repeated, sums_by
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, n_long_words long, n_letters long, n_stutters long"
@@ -111,7 +112,7 @@ def ledger(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The keys, the measurements and ``failed``, the bits of all rules a document fails."""
     source = docs.select(*keys, "text")
     schema = ", ".join([f"`{k}` {source.schema[k].dataType.simpleString()}" for k in keys] + [MEASURES])
-    return source.mapInArrow(_measure, schema).withColumn("failed", failure_bits())
+    return source.mapInArrow(thrifty(_measure), schema).withColumn("failed", failure_bits())
 
 
 def verdict(failed: Column, policy: Policy) -> Column:

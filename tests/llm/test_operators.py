@@ -10,7 +10,7 @@ import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from schemaweave.llm import brown, chat, exact, langid, linedup, minhash, mixing, packing, quality, queries, rules
+from schemaweave.llm import brown, chat, exact, langid, linedup, minhash, mixing, packing, quality, queries, rules, store
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, row string, key string, size int, kept boolean, target double, score double"
@@ -507,3 +507,148 @@ def test_held_out_accuracy(spark, name):
         truth = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
         right = got.join(truth, "doc_id").agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0]
     assert right >= 0.95
+
+
+def test_quality_equals_a_dense_solution(spark):
+    """Normal equations summed by partition against one matrix of all rows; calibration against scores of models without the row's fold."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 3))
+    y = (x[:, 0] + 0.3 * rng.normal(size=400) > 0).astype(int)
+    stats = spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(x)], "doc_id long, stats array<float>").repartition(5)
+    labels = spark.createDataFrame([(k, int(v)) for k, v in enumerate(y)], "doc_id long, quality int")
+    model = quality.fit(stats, labels, F.lit(True))
+    draws = stats.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(quality.SEED)), F.lit(1_000_000)) % quality.FOLDS).alias("fold")).collect()
+    fold = np.array([r.fold for r in sorted(draws, key=lambda r: r.doc_id)])
+    phi = model.lift(x.astype(np.float32).astype(float))
+    ridge = np.eye(len(phi[0])) * quality.RIDGE
+    ridge[-1, -1] = 1e-9
+    weights = lambda rows: np.linalg.solve(phi[rows].T @ phi[rows] + ridge, phi[rows].T @ y[rows])
+    assert np.allclose(model.raw(x.astype(np.float32).astype(float)), phi @ weights(np.arange(400)), atol=1e-6)
+    outside = np.concatenate([phi[fold == f] @ weights(np.flatnonzero(fold != f)) for f in range(quality.FOLDS)])
+    assert model.steps.min() >= outside.min() - 1e-6 and model.steps.max() <= outside.max() + 1e-6
+    assert (np.diff(model.values) >= 0).all()
+
+
+def test_language_sets_equal_plain_loops():
+    """Proportions, likelihoods and the choice of the set against loops over words and sets."""
+    rng = np.random.default_rng(7)
+    table = np.log(rng.dirichlet(np.ones(langid.BUCKETS) * 0.05, 3).T + 1e-7)
+    grams = langid.Grams(["one two three four", "uno", "", "12 ?!", "eins zwei one due tre quattro five six"])
+    share, letters = langid.proportions(grams, table)
+    assert letters.tolist() == [True, True, False, False, True]
+
+    def em(like, allowed):
+        p = np.array([1.0 / len(allowed) if k in allowed else 0.0 for k in range(3)])
+        for _ in range(langid.ROUNDS):
+            total = np.zeros(3)
+            for row in like:
+                total += row * p / (row * p).sum()
+            p = total / len(like)
+        return p, sum(np.log((row * p).sum()) for row in like)
+
+    for text in range(5):
+        words = range(grams.first_word[text], grams.first_word[text + 1])
+        like = []
+        for w in words:
+            end = grams.word_first[w + 1] if w + 1 < len(grams.word_first) else len(grams.gram)
+            logs = sum(table[g] for g in grams.gram[grams.word_first[w] : end])
+            like.append(np.exp(np.maximum(logs - logs.max(), -30)))
+        if not like:
+            assert not letters[text]
+            continue
+        order = np.argsort(-em(like, range(3))[0], kind="stable")
+        cost = langid.PENALTY * 0.5 * np.log(max(len(like), 2))
+        fits = [em(like, list(order[:n])) for n in (1, 2, 3)]
+        best = max(range(3), key=lambda n: fits[n][1] - (n + 1) * cost)
+        assert np.allclose(share[text], fits[best][0], atol=1e-6)
+
+
+def test_large_groups_of_near_copies_stay_linear(spark, monkeypatch):
+    """A star of 3,000 copies with up to five changed words: what is compared grows with the members, not with their square."""
+    rng = random.Random(3)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(150)]
+    data = [(0, " ".join(base))]
+    for k in range(1, 3000):
+        w = list(base)
+        for _ in range(rng.randint(1, 5)):
+            w[rng.randrange(len(w))] = f"x{k}y{rng.randint(0, 99)}"
+        data.append((k, " ".join(w)))
+    compared = []
+    verify = minhash.verify
+    monkeypatch.setattr(minhash, "verify", lambda pairs, *rest: compared.append(pairs.count()) or verify(pairs, *rest))
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame, 85).collect()}
+    assert sum(compared) < 4 * len(data)
+    first = shingles(data[0][1])
+    for k, text in data:
+        s = shingles(text)
+        both = len(s & first)
+        if 100 * both >= 85 * (len(s) + len(first) - both):
+            assert got[k] == 0
+
+
+def test_clashing_names_in_any_case(spark):
+    data = [(k, f"the river house {k % 7} stone walk " * 4, "en", f"s{k % 3}", 1.5, k, "a", 2) for k in range(30)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, Target double, ROW_KEY long, own_id string, Size__ int")
+    for made in (mixing.repeat(frame), exact.keep_first(frame), minhash.keep_one(frame), langid.keep_identified(frame), linedup.cleaned(frame, 80, 1)):
+        assert made.columns == frame.columns and made.count() >= 7
+        assert {r.Target for r in made.collect()} == {1.5}
+
+
+def test_ids_that_are_no_numbers_count_as_null(spark):
+    frame = spark.createDataFrame([("a1", "the river house stone walk under"), ("7", "the river house stone walk under"), ("8", "other words")], "doc_id string, text string")
+    assert sorted((r.doc_id or 0, r.keep_id) for r in exact.deduplicate(frame).collect()) == [(0, 7), (7, 7), (8, 8)]
+    assert sorted((r.doc_id or 0, r.component_id) for r in minhash.near_duplicates(frame).collect()) == [(0, 7), (7, 7), (8, 8)]
+
+
+def test_other_vocabularies_go_through_the_library(tmp_path):
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    made = Tokenizer(models.WordLevel({"[u]": 0, "A": 1, "b": 2, "a": 3}, unk_token="[u]"))
+    made.pre_tokenizer = pre_tokenizers.Split("-", "removed")
+    made.normalizer = normalizers.Strip()
+    made.save(str(tmp_path / "other.json"))
+    ids = packing.WordTokenizer(str(tmp_path / "other.json")).encode([b"A-b-a", b"", b"zz-A"])
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [[1, 2, 3], [], [0, 1]]
+
+
+def test_small_caches_give_the_same_ids(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [" ".join(f"word{(k * 7 + j) % 50}x{j % 5}" for j in range(40)).encode() for k in range(30)]
+    whole = list(packing.WordTokenizer(path).encode(texts))
+    tight = packing.WordTokenizer(path)
+    tight.words.most = tight.parts.most = 2_000
+    assert [next(tight.encode([x])) for x in texts] == whole and len(tight.words.new) < 200
+
+
+class Unset:
+    """A session as a cluster without the setting shows it."""
+
+    def __init__(self, master):
+        self.conf = {}
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": f"app-{master}"})
+
+
+def test_shared_folder_without_the_setting():
+    assert store.shared_dir(Unset("local[2]")) == store.shared_dir(Unset("local[2]")) != store.shared_dir(Unset("local[4]"))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            store.shared_dir(Unset(master))
+
+
+def test_clean_deletes_what_was_stashed(spark):
+    from pathlib import Path
+
+    kept = store.stash(spark.range(3).toDF("x"), "to-go")
+    at = Path(kept.inputFiles()[0].removeprefix("file://")).parent
+    assert kept.count() == 3 and at.exists()
+    written = dict(store._written)
+    store._written.clear()
+    store._written[spark.sparkContext.applicationId] = [f"file://{at}"]
+    assert store.clean(spark) == 1 and not at.exists()
+    store._written.update({k: [p for p in v if at.name not in p] for k, v in written.items()})
+
+
+def test_unseen_words_share_what_is_discounted(docs, spark):
+    model, _ = brown.fit(docs)
+    assert (model.unseen < -0.2).all()  # no unseen word gets a whole group
