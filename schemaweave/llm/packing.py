@@ -34,7 +34,7 @@ from .store import thrifty
 from .tokens import pieces
 
 POOL = 512
-CACHE = 10 << 20  # bytes of each of four caches in a worker, as estimated from keys and values
+CACHE = 14 << 20  # bytes of each half of the two caches in a worker, as estimated from keys and values
 ENTRY = 150  # bytes of an entry besides its key and value
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
@@ -73,15 +73,18 @@ class Recent:
         self.new: dict = {}
         self.old: dict = {}
 
-    def find(self, key) -> bytes | None:
-        value = self.new.get(key)
-        if value is None and (value := self.old.get(key)) is not None:
-            self.put(key, value)
-        return value
+    def refresh(self, wanted: set) -> set:
+        """Moves what is known of ``wanted`` to the newer half; the rest is returned."""
+        lost = wanted.difference(self.new)
+        if self.old and (moved := lost.intersection(self.old)):
+            self.new.update(zip(moved, map(self.old.__getitem__, moved), strict=True))
+            self.size += len(moved) * (ENTRY + 16)
+            lost -= moved
+        return lost
 
-    def put(self, key, value: bytes) -> None:
-        self.new[key] = value
-        self.size += len(key) + len(value) + ENTRY
+    def add(self, found: dict) -> None:
+        self.new.update(found)
+        self.size += sum(map(len, found)) + sum(map(len, found.values())) + len(found) * ENTRY
 
     def turn(self) -> None:
         """Start a new half when the newer one is full."""
@@ -118,29 +121,30 @@ class WordTokenizer:
             cls.loaded[path] = cls(path)
         return cls.loaded[path]
 
-    def _part(self, part: str) -> bytes:
-        found = self.parts.find(part)
-        if found is None:
-            text = part if part.isascii() else "".join([self.names[b] for b in part.encode()])
-            ids = [t.id for t in self.merge(text)]
-            found = struct.pack(f"<{len(ids)}I", *ids)
-            self.parts.put(part, found)
-        return found
+    def _merged(self, part: str) -> bytes:
+        ids = [t.id for t in self.merge(part if part.isascii() else "".join([self.names[b] for b in part.encode()]))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def learn(self, words: set[bytes]) -> None:
-        other = []
-        for word in words:
-            if self.words.find(word) is not None:
-                continue
-            text = word.decode()
-            low = text.lower()
-            if SIMPLE.fullmatch(text) and SIMPLE.fullmatch(low) and "<|" not in text:
-                self.words.put(word, b"".join([self._part(p) for p in PARTS.findall(low)]))
+        keys = list(words)
+        texts = b"\n".join(keys).decode().split("\n")  # words hold no line break
+        lows = "\n".join(texts).lower().split("\n")
+        simple, split, other = [], [], []
+        for word, text, low in zip(keys, texts, lows, strict=True) if keys else ():
+            plain = text.isascii()
+            if (text.isprintable() if plain else SIMPLE.fullmatch(text) and SIMPLE.fullmatch(low)) and "<|" not in text:
+                simple.append(word)
+                split.append((low,) if plain and low.isalpha() else PARTS.findall(low))
             else:
                 other.append((word, text))
+        lost = self.parts.refresh(set().union(*split))
+        self.parts.add({part: self._merged(part) for part in lost})
+        get = self.parts.new.__getitem__
+        found = {word: get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts)) for word, parts in zip(simple, split, strict=True)}
         if other:
             for (word, _), e in zip(other, self.model.encode_batch_fast([t for _, t in other], add_special_tokens=False), strict=True):
-                self.words.put(word, np.asarray(e.ids, "<u4").tobytes())
+                found[word] = np.asarray(e.ids, "<u4").tobytes()
+        self.words.add(found)
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -151,7 +155,7 @@ class WordTokenizer:
         self.words.turn()
         self.parts.turn()
         split = [t.split() for t in texts]
-        self.learn(set().union(*split).difference(self.words.new))
+        self.learn(self.words.refresh(set().union(*split)))
         get = self.words.new.__getitem__
         for ws in split:
             yield b"".join(map(get, ws))
