@@ -31,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import thrifty
-from .tokens import pieces
+from .tokens import Words, pieces
 
 POOL = 512
-CACHE = 14 << 20  # bytes of each half of the two caches in a worker, as estimated from keys and values
-ENTRY = 150  # bytes of an entry besides its key and value
+SLICE = 1 << 19  # bytes of text that are encoded at once
+CACHE = 14 << 20  # bytes of each half of the cache of words in a worker
+PART_CACHE = 6 << 20  # the same for parts of words, as estimated from keys and values
+ENTRY = 150  # bytes of an entry there besides its key and value
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 SIMPLE = re.compile(f"[\x21-\x7e{LATIN}]*")
@@ -45,8 +47,9 @@ SPLITTER = {"type": "Sequence", "pretokenizers": [
     {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
     {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
 ]}
-#: The same splitting for lower-case ASCII and Latin letters.
-PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^a-z0-9{LATIN}]+")
+#: The same splitting for lines of lower-case ASCII and Latin letters; a line break is a part of its own.
+PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|\n|[^a-z0-9\n{LATIN}]+")
+ODD = re.compile(f"[^\n\x21-\x7e{LATIN}]")
 
 
 @dataclass(frozen=True)
@@ -68,7 +71,7 @@ def _byte_names() -> list[str]:
 class Recent:
     """A cache of bounded size in two halves: what is used of the older half moves to the newer one, the rest goes."""
 
-    def __init__(self, most: int = CACHE):
+    def __init__(self, most: int = PART_CACHE):
         self.most, self.size = most, 0
         self.new: dict = {}
         self.old: dict = {}
@@ -92,9 +95,78 @@ class Recent:
             self.old, self.new, self.size = self.new, {}, 0
 
 
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions start, start + 1, ... of every stretch, one stretch after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+class Half:
+    """Token ids of words in flat arrays: sorted hashes, and where the ids of each lie in one pool."""
+
+    def __init__(self):
+        self.keys = np.zeros(0, np.uint64)
+        self.at, self.count = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.pool, self.used = np.zeros(1024, "<u4"), 0
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    @property
+    def size(self) -> int:
+        return 20 * len(self.keys) + 4 * len(self.pool)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the keys and which of them are here."""
+        place = np.searchsorted(self.keys, keys)
+        here = np.zeros(len(keys), bool)
+        inside = place < len(self.keys)
+        here[inside] = self.keys[place[inside]] == keys[inside]
+        return place, here
+
+    def take(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids the entries have, and all their ids."""
+        count = self.count[place]
+        return count, self.pool[spread(self.at[place], count)]
+
+    def add(self, keys: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
+        """Entries with ascending keys that are not here yet."""
+        if (more := self.used + len(ids)) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(more - self.used + more // 3, "<u4")])
+        self.pool[self.used : more] = ids
+        place = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, place, keys)
+        self.at = np.insert(self.at, place, self.used + np.cumsum(count) - count)
+        self.count = np.insert(self.count, place, count)
+        self.used = more
+
+
+class Shelf:
+    """Words known by their 64-bit hashes, in two halves as in ``Recent``: some 30 bytes a word and no Python objects."""
+
+    def __init__(self, most: int = CACHE):
+        self.most, self.new, self.old = most, Half(), Half()
+
+    def refresh(self, keys: np.ndarray) -> np.ndarray:
+        """Moves what is known of the ascending keys to the newer half; returns which are unknown."""
+        lost = ~self.new.find(keys)[1]
+        if len(self.old) and lost.any():
+            place, here = self.old.find(keys)
+            moved = lost & here
+            self.new.add(keys[moved], *self.old.take(place[moved]))
+            lost &= ~here
+        return lost
+
+    def turn(self) -> None:
+        if self.new.size > self.most:
+            self.old, self.new = self.new, Half()
+
+
 class WordTokenizer:
     """Encodes texts word by word with caches; equal to encoding the whole text, as no token spans white space.
 
+    The distinct words of a slice are found and looked up by their 64-bit hashes (see ``tokens``) in flat arrays.
+
     Words of printable ASCII and Latin letters are split here and go straight to the merges; the vocabulary's own
     normalisation and splitting are applied to all others. A vocabulary file that normalises or splits in another way than
     ``NORMALIZER`` and ``SPLITTER`` gets whole texts through the library.
@@ -111,8 +183,8 @@ class WordTokenizer:
         with open(path, encoding="utf-8") as file:
             said = json.load(file)
         self.by_word = (said["normalizer"], said["pre_tokenizer"]) == (NORMALIZER, SPLITTER) and not said["post_processor"]
-        self.names = _byte_names()
-        self.words, self.parts = Recent(), Recent()
+        self.names = dict(enumerate(_byte_names()))
+        self.words, self.parts = Shelf(), Recent()
 
     @classmethod
     def get(cls, path: str) -> WordTokenizer:
@@ -122,29 +194,40 @@ class WordTokenizer:
         return cls.loaded[path]
 
     def _merged(self, part: str) -> bytes:
-        ids = [t.id for t in self.merge(part if part.isascii() else "".join([self.names[b] for b in part.encode()]))]
+        ids = [t.id for t in self.merge(part if part.isascii() else part.encode().decode("latin-1").translate(self.names))]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def learn(self, words: set[bytes]) -> None:
-        keys = list(words)
-        texts = b"\n".join(keys).decode().split("\n")  # words hold no line break
-        lows = "\n".join(texts).lower().split("\n")
-        simple, split, other = [], [], []
-        for word, text, low in zip(keys, texts, lows, strict=True) if keys else ():
-            plain = text.isascii()
-            if (text.isprintable() if plain else SIMPLE.fullmatch(text) and SIMPLE.fullmatch(low)) and "<|" not in text:
-                simple.append(word)
-                split.append((low,) if plain and low.isalpha() else PARTS.findall(low))
-            else:
-                other.append((word, text))
-        lost = self.parts.refresh(set().union(*split))
-        self.parts.add({part: self._merged(part) for part in lost})
-        get = self.parts.new.__getitem__
-        found = {word: get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts)) for word, parts in zip(simple, split, strict=True)}
-        if other:
-            for (word, _), e in zip(other, self.model.encode_batch_fast([t for _, t in other], add_special_tokens=False), strict=True):
-                found[word] = np.asarray(e.ids, "<u4").tobytes()
-        self.words.add(found)
+    def _simple(self, lows: str) -> tuple[np.ndarray, bytes]:
+        """Number of ids of each lower-case word, one a line, and all ids."""
+        flat = PARTS.findall(lows + "\n")
+        wanted = set(flat)
+        wanted.discard("\n")
+        self.parts.add({part: self._merged(part) for part in self.parts.refresh(wanted)})
+        get = self.parts.new.get
+        ids = [get(part, b"") for part in flat]
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        breaks = np.flatnonzero(np.fromiter(map("\n".__eq__, flat), bool, len(flat)))
+        return np.diff(ends[breaks], prepend=0) // 4, b"".join(ids)
+
+    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each word, and all ids in the words' order."""
+        text = b"\n".join(words).decode()  # words hold no line break
+        low = text.lower()
+        if not (ODD.search(text) or ODD.search(low) or "<|" in text):
+            count, ids = self._simple(low)
+            return count, np.frombuffer(ids, "<u4")
+        texts = text.split("\n")
+        plain = [not ODD.search(t) and not ODD.search(t.lower()) and "<|" not in t for t in texts]
+        found: list[np.ndarray] = [np.zeros(0, "<u4")] * len(texts)
+        simple = [k for k, p in enumerate(plain) if p]
+        if simple:
+            count, ids = self._simple("\n".join([texts[k].lower() for k in simple]))
+            for k, own in zip(simple, np.split(np.frombuffer(ids, "<u4"), np.cumsum(count)[:-1]), strict=True):
+                found[k] = own
+        other = [k for k, p in enumerate(plain) if not p]
+        for k, e in zip(other, self.model.encode_batch_fast([texts[k] for k in other], add_special_tokens=False), strict=True):
+            found[k] = np.asarray(e.ids, "<u4")
+        return np.array(list(map(len, found)), np.int64), np.concatenate(found)
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -154,11 +237,15 @@ class WordTokenizer:
             return
         self.words.turn()
         self.parts.turn()
-        split = [t.split() for t in texts]
-        self.learn(self.words.refresh(set().union(*split)))
-        get = self.words.new.__getitem__
-        for ws in split:
-            yield b"".join(map(get, ws))
+        words = Words(pa.array(texts, pa.binary()))
+        keys, first, kind = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        if (lost := self.words.refresh(keys)).any():
+            raw, first = words.data.tobytes(), first[lost]
+            self.words.new.add(keys[lost], *self.learn([raw[a:b] for a, b in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)]))
+        count, ids = self.words.new.take(self.words.new.find(keys)[0][kind])
+        ends = np.concatenate([[0], np.cumsum(count)])[words.first].tolist()
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            yield ids[a:b].tobytes()
 
 
 class Packer:
@@ -265,7 +352,7 @@ def pack(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(), end_id
             columns = list(zip(*packer.drain(), strict=True)) or [()] * 8
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=False)], names)
 
-        for batch in pieces(batches, "text", 1 << 20):
+        for batch in pieces(batches, "text", SLICE):
             texts = batch.column("text").cast(pa.large_binary()).to_pylist()
             prompts = batch.column("prompt").to_pylist()
             for key, ids, prompt in zip(batch.column("doc_id").to_pylist(), tokenizer.encode([t or b"" for t in texts]), prompts, strict=True):
