@@ -37,6 +37,7 @@ TOP, TAILS, CLASSES = 1000, 1000, 64
 FREQUENT = 1 << 18
 SMALL = 3
 SWEEPS = 6
+HELD = 1 << 20  # tokens that a task holds before it adds them up
 SHARE = 0.95
 END = np.uint64(0x0123456789ABCDEF)
 
@@ -74,9 +75,9 @@ def count_words(docs: DataFrame) -> DataFrame:
             words = Words(batch.column("text"), lower=True)
             h, t, _ = _sequence(words, words.hashes())
             kept.append(h)
-            tails.append(t)
+            tails.append(t.astype(np.int16))
             size += len(h)
-            if size > 4_000_000:
+            if size > HELD:
                 yield flush()
                 kept, tails, size = [], [], 0
         if kept:
@@ -122,7 +123,7 @@ def count_pairs(docs: DataFrame, types: Types) -> DataFrame:
             h, tail, _ = _sequence(words, words.hashes())
             kinds, _ = sent.value.types(h, tail)
             kept.append(np.concatenate([[0], kinds[:-1]]) * total + kinds)
-            if sum(map(len, kept)) > 4_000_000:
+            if sum(map(len, kept)) > HELD:
                 sums += np.bincount(np.concatenate(kept), minlength=total * total)
                 kept.clear()
         if kept:
@@ -207,7 +208,7 @@ def count_contexts(docs: DataFrame, types: Types, of: np.ndarray) -> DataFrame:
             if len(at):  # the end stands after the last word of each text, and before the first
                 kept.append((h[at], np.where(at > 0, near[at - 1], near.dtype.type(of[0])), near[at + 1]))
                 size += len(at)
-            if size > 2_000_000:
+            if size > HELD:
                 yield flush()
                 kept, size = [], 0
         if kept:
