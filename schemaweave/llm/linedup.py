@@ -1,142 +1,107 @@
 """Line deduplication by an exact set-similarity join.
 
 A line's tokens are its distinct words (A-Z in lower case); with a ``width`` above 1 they are its windows of so many words (all
-words where there are fewer). Lines are ordered by (doc_id, text, line number). Of lines with equal token sets the first
-stays; it goes too if an earlier such first line has a Jaccard similarity of at least ``threshold`` percent.
+words where there are fewer). Lines are ordered by (doc_id, text, line number). Lines with equal token sets are a class, for
+which the first line stands; a link joins two classes with a Jaccard similarity of at least ``threshold`` percent. Of a class
+the first line stays; it goes too if it has a link to an earlier class.
 
-1. All tokens are counted in ``SLOTS`` slots of their hash, a table of fixed size on every machine. Its counts, in steps of a
-   quarter of a doubling, and then the hash give one order of all tokens, by rarity, whatever the size of the vocabulary.
+1. All tokens are counted in ``SLOTS`` slots of their hash, a table of fixed size. Its counts, in steps of half a doubling,
+   and then the hash give one order of all tokens, by rarity, whatever the size of the vocabulary.
 2. Two similar sets share one of the first n - ceil(threshold * n) + 1 tokens in that order: the prefix of a set. Each
-   distinct set is posted under the tokens of its prefix, with its size, the token's position and two words of parity signs
-   (each differing token flips one bit).
-3. Sets that share a prefix token are candidates if the length filter, the positional filter and the signs, which bound the
-   difference from below, allow the similarity; their full sets decide. Each set first meets the earliest set of each of its
-   tokens; only sets without a match so far go on to all other earlier sets. So a large group of near copies costs about as many
-   comparisons as it has lines.
-
-Tokenising takes Arrow batches and numpy, the joins are DataFrame operations; the README has the figures of the form without
-Python. Defined results: a null text has no lines; lines without a word are never removed; rows that repeat doc_id and text are
-treated alike; null doc_ids (and those that are no whole number) come first; other columns are ignored; an empty table gives no rows.
+   class is posted under the codes of these tokens (level and 27 bits of the hash: two tokens with one code only make
+   further candidates), with its size, the token's position and parity signs (each differing token flips one bit).
+3. Classes that share a prefix code are candidates if the length filter, the positional filter and the signs, which bound the
+   difference from below, allow the similarity; their full sets decide.
+
+``linked_lines`` takes all links. ``duplicate_lines`` needs one earlier link of a class: each class first meets the earliest one of
+each of its last ``LEADS`` prefix codes; those without a match go on to all other earlier ones. So a large group of near copies
+costs about as many comparisons as it has lines there.
+
+All steps are DataFrame operations. Defined results: a null text has no lines; lines without a word are never removed; rows that
+repeat doc_id and text are treated alike; null doc_ids (and those that are no whole number) come first; other columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import string
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .exact import row_key, whole_id
-from .minhash import verify
-from .store import shuffle_partitions, stash, thrifty, unused
-from .tokens import Words, mix, pieces
+from .exact import SPACES, row_key, whole_id
+from .store import shuffle_partitions, stash, unused
 
 WIDTH = 5
 SLOTS = 1 << 18
-SIGNS = 128
+LEVELS, CODE_BITS = 32, 27
+LEADS = 3
+SIGNS = 4
 BROADCAST_ROWS = 1_000_000
-LINES = "doc_id long, row long, line_no int, k1 long, k2 long, n int, prefix array<long>, s0 long, s1 long"
-
-
-class LineTokens:
-    """The tokens of all lines of a slice of texts; ``line`` numbers lines through the slice, ``text`` and ``line_no`` place them."""
-
-    def __init__(self, column: pa.Array, width: int):
-        words = Words(column, lower=True)
-        breaks = np.concatenate([[0], np.cumsum(words.data == 10)])
-        text = words.text_of_word()
-        line = breaks[words.start] + text  # each text starts a line of its own
-        hashes = words.hashes()
-        if width > 1 and len(hashes):
-            hashes, line = _windows(hashes, line, width)
-            text = np.searchsorted(breaks[words.at[1:]] + np.arange(words.texts), line)
-        self.hashes, self.line, self.text = hashes, line, text
-        self.line_no = line - (breaks[words.at[:-1]] + np.arange(words.texts))[text]
-
-
-def _windows(hashes: np.ndarray, line: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and lines of all windows inside a line; a shorter line is one window."""
-    out, at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if len(hashes) >= width:
-        full = np.zeros(len(hashes) - width + 1, np.uint64)
-        for k in range(width):
-            full = full * np.uint64(0xD6E8FEB86659FD93) + hashes[k : len(full) + k]
-        at = np.flatnonzero(line[: len(full)] == line[width - 1 :])
-        out = mix(full[at])
-    lines, first, size = np.unique(line, return_index=True, return_counts=True)
-    short, value = size < width, np.zeros(len(lines), np.uint64)
-    for k in range(width - 1):
-        more = short & (size > k)
-        value[more] = mix(value[more] * np.uint64(0xD6E8FEB86659FD93) + hashes[first[more] + k])
-    every = np.concatenate([out, value[short]])
-    owner = np.concatenate([line[at], lines[short]])
-    order = np.argsort(owner, kind="stable")
-    return every[order], owner[order]
-
-
-def token_sets(column: pa.Array, width: int) -> list[np.ndarray]:
-    """The sorted token set of each single line."""
-    found = LineTokens(column, width)
-    ends = np.searchsorted(found.text, np.arange(len(column) + 1))
-    return [np.unique(found.hashes[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-
-
-def prefix_length(n: np.ndarray, threshold: int) -> np.ndarray:
-    return n - (n * threshold + 99) // 100 + 1
-
-
-def rarity(docs: DataFrame, width: int) -> np.ndarray:
-    """The level of each slot: how often its tokens occur, in quarters of a doubling. ``SLOTS`` rows reach the driver at most."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
-        for batch in pieces(batches, "text"):
-            total += np.bincount((LineTokens(batch.column("text"), width).hashes % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["slot", "n"])
-
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(thrifty(run), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    levels = np.zeros(SLOTS, np.uint64)
-    levels[found.column("slot").to_numpy()] = np.floor(np.log2(found.column("n").to_numpy()) * 4).astype(np.uint64)
-    return levels
-
-
-def line_sets(docs: DataFrame, threshold: int, width: int = WIDTH) -> DataFrame:
-    """``LINES`` of all lines with a word: the key of the token set in two parts, its size, prefix and signs."""
-    levels = docs.sparkSession.sparkContext.broadcast(rarity(docs, width))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in LINES.split(", ")]
-        for batch in pieces(batches, "text"):
-            found = LineTokens(batch.column("text"), width)
-            h, line = found.hashes, found.line
-            if not len(h):
-                continue
-            rank = levels.value[(h % np.uint64(SLOTS)).astype(np.int64)] << np.uint64(56) | h >> np.uint64(8)
-            order = np.lexsort((h, rank, line))
-            h, line, rank = h[order], line[order], rank[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-            at = order[new]  # a token of each, to tell the place of the line
-            h, line, rank = h[new], line[new], rank[new]
-            first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-            n = np.diff(np.append(first, len(h)))
-            k1 = np.add.reduceat(mix(h), first)
-            k2 = np.add.reduceat(mix(h ^ np.uint64(0xA5A5F00DC0FFEE11)), first)
-            own = np.repeat(np.arange(len(n)), n)
-            odd = np.bincount(own * SIGNS + (mix(h + np.uint64(77)) & np.uint64(SIGNS - 1)).astype(np.int64), minlength=len(n) * SIGNS).astype(np.uint8) & 1
-            signs = np.packbits(odd.reshape(-1, SIGNS), axis=1).view(np.int64)
-            cut = prefix_length(n, threshold)
-            inside = np.arange(len(h)) - np.repeat(first, n) < np.repeat(cut, n)
-            prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(cut)).astype(np.int32)), pa.array(rank[inside].view(np.int64)))
-            place = pa.array(found.text[at[first]])
-            numbers = [pa.array(x) for x in (found.line_no[at[first]].astype(np.int32), k1.view(np.int64), k2.view(np.int64), n.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(place), batch.column("row").take(place), *numbers, prefix, pa.array(signs[:, 0]), pa.array(signs[:, 1])], names)
-
-    rows = docs.where(F.col("text").isNotNull()).select(whole_id().alias("doc_id"), row_key().alias("row"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(thrifty(run), LINES)
+PLACE = ("doc_id", "row", "line_no")
+
+
+def _hashed(lines: DataFrame, width: int) -> DataFrame:
+    """``line`` replaced by the hashes of its tokens; each line has a word."""
+    line, rest = F.col("line"), [c for c in lines.columns if c != "line"]
+    # lower() is the cheap form of translate() where all bytes are ASCII
+    small = F.when(F.octet_length(line) == F.char_length(line), F.lower(line)).otherwise(F.translate(line, string.ascii_uppercase, string.ascii_lowercase))
+    lines = lines.select(*rest, F.array_remove(F.split(small, SPACES), "").alias("words"))
+    if width == 1:
+        return lines.select(*rest, F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    lines = lines.withColumn("full", F.size("words") - width + 1)
+    windows = F.transform(F.sequence(F.lit(1), F.greatest("full", F.lit(1))), lambda i: F.xxhash64(F.slice("words", i, width)))
+    return lines.select(*rest, F.when(F.col("full") > 0, windows).otherwise(F.array(F.xxhash64("words"))).alias("hashes"))
+
+
+def token_sets(lines: DataFrame, width: int) -> DataFrame:
+    """``line`` replaced by the sorted distinct hashes of its tokens."""
+    return _hashed(lines, width).withColumn("tokens", F.sort_array(F.array_distinct("hashes"))).drop("hashes")
+
+
+def _has_word(line: Column) -> Column:
+    return line.rlike(r"[^\x20\x09-\x0D]")
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, row, line_no, line of all lines with a word."""
+    rows = docs.select(whole_id().alias("doc_id"), row_key().alias("row"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    return rows.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(_has_word(F.col("line")))
+
+
+def _prefix_length(n: Column, threshold: int) -> Column:
+    return n - F.floor((n.cast("long") * threshold + 99) / 100).cast("int") + 1
+
+
+def rarity(docs: DataFrame, width: int) -> bytes:
+    """The level of each slot, from 1: how often its tokens occur, in halves of a doubling. ``SLOTS`` rows reach the driver at most."""
+    slots = _hashed(_lines(docs).select("line"), width).select(F.explode("hashes").alias("h")).select(F.col("h").bitwiseAND(F.lit(SLOTS - 1)).alias("slot"))
+    found = slots.groupBy("slot").agg(F.count("*").alias("n")).toArrow()
+    levels = np.ones(SLOTS, np.uint8)
+    if found.num_rows:
+        n = found.column("n").to_numpy()
+        levels[found.column("slot").to_numpy()] = np.clip(np.floor(2 * np.log2(n / np.median(n))) + 8, 0, LEVELS - 1) + 1
+    return levels.tobytes()
+
+
+def _keyed(lines: DataFrame, width: int) -> DataFrame:
+    """doc_id, row, line_no, tokens and the key of the token set in two parts."""
+    return token_sets(lines, width).withColumns({"k1": F.xxhash64("tokens"), "k2": F.xxhash64(F.lit(77), "tokens")})
+
+
+def classes(docs: DataFrame, threshold: int, width: int = WIDTH) -> DataFrame:
+    """sid (in the order of the first lines), k1, k2, first (its place), n, prefix, sign of each distinct token set."""
+    levels = F.lit(rarity(docs, width))
+    level = lambda h: F.ascii(F.substring(levels, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int") + 1, F.lit(1)).cast("string"))
+    code = lambda h: (level(h) - 1 - LEVELS // 2) * F.lit(1 << CODE_BITS) + F.shiftrightunsigned(h, 8).bitwiseAND(F.lit((1 << CODE_BITS) - 1)).cast("int")
+    flip = lambda sign, h: sign.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int")))
+    n = F.size("tokens")
+    prefix = F.slice(F.sort_array(F.transform("tokens", code)), F.lit(1), _prefix_length(n, threshold))
+    sets = _keyed(_lines(docs), width).select("k1", "k2", *PLACE, n.alias("n"), prefix.alias("prefix"), F.aggregate("tokens", F.lit(0).cast("long"), flip).alias("sign"))
+    place = F.struct(*PLACE)
+    firsts = sets.groupBy("k1", "k2").agg(F.min_by(F.struct(place.alias("first"), "n", "prefix", "sign"), place).alias("x")).select("k1", "k2", "x.*")
+    return stash(firsts.orderBy("first").withColumn("sid", F.monotonically_increasing_id()), "line-classes")
 
 
 def _few(df: DataFrame, n: int) -> DataFrame:
@@ -148,66 +113,121 @@ def _allowed(threshold: int) -> Column:
     both = F.col("n") + F.col("n_b")
     length = 100 * F.least("n", "n_b") >= threshold * F.greatest("n", "n_b")
     room = (1 + F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b"))) * (100 + threshold) >= threshold * both
-    flipped = F.bit_count(F.col("s0").bitwiseXOR(F.col("s0_b"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("s1_b")))
-    return length & room & (flipped * (100 + threshold) <= (100 - threshold) * both)
+    return length & room & (F.bit_count(F.col("sign").bitwiseXOR(F.col("sign_b"))) * (100 + threshold) <= (100 - threshold) * both)
+
+
+def _postings(sets: DataFrame) -> DataFrame:
+    return sets.select("sid", F.col("n").cast("long").alias("n"), "sign", F.size("prefix").alias("cut"), F.posexplode("prefix").alias("at", "code"), "open").select("code", "sid", "n", (F.col("at") + 1).alias("pos"), "sign", "cut", "open")
+
+
+POSTED = ("sid", "n", "pos", "sign")
+
+
+def _lead_pairs(sets: DataFrame, threshold: int) -> DataFrame:
+    """Candidates (a, b): each class with the earliest one of each of its last prefix codes."""
+    posted = _postings(sets).where(F.col("pos") > F.col("cut") - LEADS).select("code", *POSTED)
+    lead = F.first(F.struct(*POSTED)).over(Window.partitionBy("code").orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    pairs = posted.withColumn("l", lead).select(*POSTED, *[F.col(f"l.{c}").alias(f"{c}_b") for c in POSTED])
+    return pairs.where((F.col("sid") > F.col("sid_b")) & _allowed(threshold)).select(F.col("sid").alias("a"), F.col("sid_b").alias("b")).distinct()
+
 
+def _all_pairs(sets: DataFrame, threshold: int) -> DataFrame:
+    """Candidates (a, b): each open class with all earlier ones of its prefix codes. Both sides read one exchange."""
+    # the condition on "open" names both sides, else it would be pushed below one exchange and make it another
+    posted = _postings(sets).select("code", "sid", "n", "pos", "sign", "open")
+    other = posted.select(F.col("code").alias("code_b"), *[F.col(c).alias(f"{c}_b") for c in (*POSTED, "open")])
+    pairs = posted.join(other.hint("merge"), (F.col("code") == F.col("code_b")) & (F.when(F.col("open"), F.col("sid")).otherwise(-1) > F.col("sid_b")) & _allowed(threshold))
+    return pairs.select(F.col("sid").alias("a"), F.col("sid_b").alias("b")).distinct()
 
-def _line_texts(docs: DataFrame, sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, text of the first lines of the wanted sets."""
+
+def _token_sets(docs: DataFrame, sets: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """id, tokens of the wanted classes, from their first lines."""
     wanted = stash(sets.select(F.col("sid").alias("id"), F.col("first.doc_id").alias("own"), F.col("first.row").alias("row"), F.col("first.line_no").alias("line_no")).join(ids.distinct(), "id"), "wanted-lines")
-    rows = docs.select(whole_id().alias("doc_id"), row_key().alias("row"), F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
-    found = rows.join(_few(wanted, wanted.count()), ["row", "line_no"]).where(F.col("doc_id").eqNullSafe(F.col("own"))).select("id", "text")
-    return stash(found.dropDuplicates(["id"]), "line-texts")
+    found = _lines(docs).join(_few(wanted, wanted.count()), ["row", "line_no"]).where(F.col("doc_id").eqNullSafe(F.col("own"))).select("id", "line")
+    return stash(token_sets(found, width).dropDuplicates(["id"]), "line-tokens")
+
+
+def _sign(k: int) -> Column:
+    """The k-th word of the parity signs of ``tokens``."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 52).bitwiseAND(F.lit(63)).cast("int"))
+    mine = lambda h: F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(SIGNS - 1)) == k
+    return F.aggregate("tokens", F.lit(0).cast("long"), lambda sign, h: F.when(mine(h), sign.bitwiseXOR(bit(h))).otherwise(sign))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, threshold: int, width: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= threshold * union."""
+    pairs = stash(pairs, "line-pairs")
+    tokens = _token_sets(docs, sets, pairs.select(F.col("a").alias("id")).union(pairs.select("b")), width)
+    # longer signs than those of the postings spare most pairs the join with full sets
+    signs = stash(tokens.select("id", F.size("tokens").cast("long").alias("n"), *[_sign(k).alias(f"s{k}") for k in range(SIGNS)]), "line-signs")
+    few = signs.count()
+    for c in ("a", "b"):
+        pairs = pairs.join(_few(signs.select(F.col("id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in signs.columns if x != "id"]), few), c)
+    flipped = sum((F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(SIGNS)), F.lit(0))
+    pairs = pairs.where(flipped * (100 + threshold) <= (100 - threshold) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    for c in ("a", "b"):
+        pairs = pairs.join(tokens.select(F.col("id").alias(c), F.col("tokens").alias(f"tokens_{c}")), c)
+    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    union = F.size("tokens_a") + F.size("tokens_b") - common
+    return stash(pairs.where(common.cast("long") * 100 >= union.cast("long") * threshold).select("a", "b"), "line-links")
 
 
 def near_matches(sets: DataFrame, docs: DataFrame, threshold: int, width: int) -> DataFrame:
-    """sid of the sets with an earlier similar one. ``sets``: sid in the order of their first lines, first, n, prefix, s0, s1."""
-    postings = sets.select("sid", "n", "s0", "s1", F.posexplode("prefix").alias("at", "token")).select("token", "sid", "n", (F.col("at") + 1).alias("pos"), "s0", "s1")
-    names = ["sid", "n", "pos", "s0", "s1"]
-    other = postings.select("token", *[F.col(c).alias(f"{c}_b") for c in names])
-    lead = postings.groupBy("token").agg(F.min(F.struct(*names)).alias("l"), F.count("*").alias("times")).where("times > 1")
-    lead = lead.select("token", *[F.col(f"l.{c}").alias(f"{c}_b") for c in names])
-    found, open_ = None, postings
-    for earlier in (lead, other):
-        pairs = open_.join(earlier, "token").where((F.col("sid") > F.col("sid_b")) & _allowed(threshold))
-        pairs = stash(pairs.select(F.col("sid").alias("a"), F.col("sid_b").alias("b")).distinct(), "line-pairs")
-        texts = _line_texts(docs, sets, pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
-        new = stash(verify(pairs, texts, threshold, lambda column: token_sets(column, width)).select(F.col("a").alias("sid")).distinct(), "matches")
-        found = new if found is None else found.unionByName(new)
-        open_ = open_.join(new, "sid", "left_anti")
-    return found
+    """sid of the classes with a link to an earlier one."""
+    sets = sets.withColumn("open", F.lit(True))
+    found = _verified(_lead_pairs(sets, threshold), docs, sets, threshold, width).select(F.col("a").alias("sid")).distinct()
+    matched = found.withColumn("matched", F.lit(True))
+    left = sets.drop("open").join(_few(matched, matched.count()), "sid", "left").withColumn("open", F.col("matched").isNull()).drop("matched")
+    return found.unionByName(_verified(_all_pairs(left, threshold), docs, sets, threshold, width).select(F.col("a").alias("sid")).distinct())
+
+
+def linked_lines(docs: DataFrame, threshold: int = 80, width: int = WIDTH) -> DataFrame:
+    """doc_id, row, line_no, first (the place of the class), n_links of all lines with a word: the whole join."""
+    sets = classes(docs, threshold, width)
+    links = _verified(_all_pairs(sets.withColumn("open", F.lit(True)), threshold), docs, sets, threshold, width)
+    ends = links.select(F.col("a").alias("sid")).unionByName(links.select(F.col("b").alias("sid"))).groupBy("sid").agg(F.count("*").alias("n_links"))
+    known = sets.select("k1", "k2", "sid", "first").join(ends, "sid", "left").select("k1", "k2", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return _members(docs, known, width)
+
+
+def _members(docs: DataFrame, known: DataFrame, width: int) -> DataFrame:
+    """The place of all lines with what is known of their class; a large class is joined in parts."""
+    lines = stash(_keyed(_lines(docs), width).drop("tokens"), "line-keys")
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64("row", "line_no"), F.lit(shuffle_partitions(docs.sparkSession))))
+    parts = salted.select("k1", "k2", "salt").distinct().join(known, ["k1", "k2"])
+    return salted.join(parts, ["k1", "k2", "salt"]).drop("k1", "k2", "salt")
+
+
+def _marked(docs: DataFrame, threshold: int, width: int) -> DataFrame:
+    """k1, k2, first, near of each class."""
+    sets = classes(docs, threshold, width)
+    near = near_matches(sets, docs, threshold, width).withColumn("near", F.lit(True))
+    return sets.select("k1", "k2", "sid", "first").join(near, "sid", "left").select("k1", "k2", "first", F.coalesce("near", F.lit(False)).alias("near"))
 
 
 def duplicate_lines(docs: DataFrame, threshold: int = 80, width: int = WIDTH) -> DataFrame:
     """doc_id, row, line_no, exact, near of all lines with a word: why a line goes (both false: it stays)."""
-    spark = docs.sparkSession
-    lines = stash(line_sets(docs, threshold, width), "line-sets")
-    salt = F.pmod(F.xxhash64("row", "line_no"), F.lit(shuffle_partitions(spark)))
-    place = F.struct("doc_id", "row", "line_no")
-    rest = F.struct(F.struct("doc_id", "row", "line_no").alias("first"), "n", "prefix", "s0", "s1")
-    salted = lines.withColumn("salt", salt)
-    firsts = salted.groupBy("k1", "k2").agg(F.min_by(rest, place).alias("x")).select("k1", "k2", "x.*")
-    sets = stash(firsts.orderBy("first").withColumn("sid", F.monotonically_increasing_id()), "distinct-sets")
-    near = near_matches(sets, docs, threshold, width)
-    known = sets.select("k1", "k2", "sid", "first").join(near.withColumn("near", F.lit(True)), "sid", "left").select("k1", "k2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    parts = salted.select("k1", "k2", "salt").distinct().join(known, ["k1", "k2"])
-    out = salted.select("doc_id", "row", "line_no", "k1", "k2", "salt").join(parts, ["k1", "k2", "salt"])
-    exact = ~F.struct("doc_id", "row", "line_no").eqNullSafe(F.col("first"))
-    return out.select("doc_id", "row", "line_no", exact.alias("exact"), (~exact & F.col("near")).alias("near"))
+    out = _members(docs, _marked(docs, threshold, width), width)
+    exact = ~F.struct(*PLACE).eqNullSafe(F.col("first"))
+    return out.select(*PLACE, exact.alias("exact"), (~exact & F.col("near")).alias("near"))
+
+
+def _by_row(docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """All rows: doc_id, n_lines (with a word) and the columns of ``counts`` (own, key and numbers; 0 where there is none)."""
+    text = F.col("text").cast("string")
+    n = F.coalesce(F.size(F.filter(F.split(text, "\n"), _has_word)), F.lit(0)).cast("long")
+    rows = docs.select(whole_id().alias("doc_id"), row_key().alias("row"), F.when(text.isNull(), 0).otherwise(n).cast("long").alias("n_lines"))
+    named = [c for c in counts.columns if c not in ("own", "key")]
+    joined = rows.join(counts, (F.col("row") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("own")), "left")
+    return joined.select("doc_id", "n_lines", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in named])
 
 
 def deduplicate_lines(docs: DataFrame, threshold: int = 80, width: int = WIDTH) -> DataFrame:
     """doc_id, n_lines (with a word), n_exact, n_near, n_left of every row."""
-    marks = duplicate_lines(docs, threshold, width).groupBy(F.col("doc_id").alias("own"), "row").agg(F.count("*").alias("n"), F.count_if("exact").alias("exact"), F.count_if("near").alias("near"))
-    rows = docs.select(whole_id().alias("doc_id"), row_key().alias("row"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    # rows that repeat doc_id and text have counted each line once for each of them
-    times = rows.groupBy(F.col("doc_id").alias("same"), F.col("row").alias("key")).agg(F.count("*").alias("times"))
-    rows = rows.join(times, (F.col("row") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("same"))).drop("key", "same")
-    marks = marks.withColumnRenamed("row", "key")
-    rows = rows.join(marks, (F.col("row") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("own")), "left")
-    share = lambda c: (zero(c) / F.col("times")).cast("long")
-    return rows.select("doc_id", share("n").alias("n_lines"), share("exact").alias("n_exact"), share("near").alias("n_near"), (share("n") - share("exact") - share("near")).alias("n_left"))
+    # a line is the first of its class or goes as an exact copy, so counts of the first lines of a row give all numbers
+    firsts = _marked(docs, threshold, width).groupBy(F.col("first.doc_id").alias("own"), F.col("first.row").alias("key")).agg(F.count("*").alias("firsts"), F.count_if("near").alias("n_near"))
+    rows = _by_row(docs, firsts)
+    return rows.select("doc_id", "n_lines", (F.col("n_lines") - F.col("firsts")).alias("n_exact"), "n_near", (F.col("firsts") - F.col("n_near")).alias("n_left"))
 
 
 def cleaned(docs: DataFrame, threshold: int = 80, width: int = WIDTH) -> DataFrame:
