@@ -70,6 +70,12 @@ def op8_line_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.deduplicate_lines(table(spark, sf_dir, "documents"), 80, width=1)
 
 
+def op8_line_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = linedup.linked_lines(table(spark, sf_dir, "documents"), 80, width=1)
+    number = lambda c: (F.col(c) + 1).cast("long")
+    return lines.select("doc_id", number("line_no").alias("line_no"), F.col("first.doc_id").alias("class_doc"), number("first.line_no").alias("class_line"), "n_links")
+
+
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rules.ledger(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -84,7 +90,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality, op2_brown, op3_exact, op4_packing, op5_chat, op6_minhash, op7_langid, op8_line_words, op9_rules, op10_mixing]
+    found = [op1_quality, op2_brown, op3_exact, op4_packing, op5_chat, op6_minhash, op7_langid, op8_line_words, op8_line_links, op9_rules, op10_mixing]
     return {f.__name__: f for f in found}
 
 
@@ -222,6 +228,17 @@ SELECT d.doc_id, count(exact) AS n_lines, count(*) FILTER (exact) AS n_exact, co
 FROM documents d LEFT JOIN o USING (doc_id) GROUP BY d.doc_id
 """
 
+SQL_OP8_LINKS = (
+    SQL_OP8[: SQL_OP8.index(", m AS (")]
+    + r""", m AS (
+  SELECT a, b FROM (SELECT a, b, y.s AS u, z.s AS v, len(list_intersect(y.s, z.s)) AS common FROM q JOIN f y ON y.k = a JOIN f z ON z.k = b) WHERE 100 * common >= 80 * (len(u) + len(v) - common)
+), e AS (
+  SELECT k, count(*) AS n FROM (SELECT a AS k FROM m UNION ALL SELECT b FROM m) GROUP BY k
+)
+SELECT t.doc_id, t.line_no, first.d AS class_doc, first.l AS class_line, coalesce(e.n, 0) AS n_links FROM t JOIN f USING (s) LEFT JOIN e USING (k)
+"""
+)
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact": SQL_OP3, "op5_chat": SQL_OP5, "op6_minhash": SQL_OP6, "op8_line_words": SQL_OP8, "op9_rules": SQL_OP9, "op10_mixing": SQL_OP10}
+    return {"op3_exact": SQL_OP3, "op5_chat": SQL_OP5, "op6_minhash": SQL_OP6, "op8_line_words": SQL_OP8, "op8_line_links": SQL_OP8_LINKS, "op9_rules": SQL_OP9, "op10_mixing": SQL_OP10}

@@ -237,6 +237,21 @@ def test_lines_by_distinct_words(spark):
     assert "op8_line_words" in queries.queries()
 
 
+def test_all_links_of_lines(spark):
+    """Each line has its class and the number of links of that class, also where an earlier link is already known."""
+    base = [f"w{k}" for k in range(12)]
+    data = [(k, " ".join([*base[:11], f"x{k}"]) + "\nÉ " + " ".join(base[: k + 1]).upper()) for k in range(6)] + [(9, " ".join(base[::-1]) + "\n\n" + " ".join(base))]
+    lines = [(d, n, frozenset(x.lower().replace("é", "É").split())) for d, t in data for n, x in enumerate(t.split("\n")) if x]
+    first = {}
+    for d, n, s in lines:
+        first.setdefault(s, (d, n))
+    links = {s: sum(s != t and 5 * len(s & t) >= 4 * len(s | t) for t in first) for s in first}
+    assert max(links.values()) > 3
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    got = {(r.doc_id, r.line_no): (r.first.doc_id, r.first.line_no, r.n_links) for r in linedup.linked_lines(frame, 80, 1).collect()}
+    assert got == {(d, n): (*first[s], links[s]) for d, n, s in lines}
+
+
 def test_mix_reaches_targets(docs):
     got = mixing.mix(docs)
     rs = got.collect()
