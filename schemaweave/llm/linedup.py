@@ -51,7 +51,7 @@ def _hashed(lines: DataFrame, width: int) -> DataFrame:
     if width == 1:
         return lines.select(*rest, F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
     lines = lines.withColumn("full", F.size("words") - width + 1)
-    windows = F.transform(F.sequence(F.lit(1), F.greatest("full", F.lit(1))), lambda i: F.xxhash64(F.slice("words", i, width)))
+    windows = F.transform(F.sequence(F.lit(0), F.greatest("full", F.lit(1)) - 1), lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(width)]))  # slice() copies the whole array
     return lines.select(*rest, F.when(F.col("full") > 0, windows).otherwise(F.array(F.xxhash64("words"))).alias("hashes"))
 
 
