@@ -13,9 +13,9 @@ the first line stays; it goes too if it has a link to an earlier class.
 3. Classes that share a prefix code are candidates if the length filter, the positional filter and the signs, which bound the
    difference from below, allow the similarity; their full sets decide.
 
-``linked_lines`` takes all links. ``duplicate_lines`` needs one earlier link of a class: each class first meets the earliest one of
-each of its last ``LEADS`` prefix codes; those without a match go on to all other earlier ones. So a large group of near copies
-costs about as many comparisons as it has lines there.
+``linked_lines`` takes all links. ``duplicate_lines`` needs one earlier link of a class: each class first meets two earlier ones of
+each of its ``LEADS`` lead keys, pairs of neighbouring prefix codes; those without a match go on to all other earlier ones. So a
+large group of near copies costs about as many comparisons as it has lines there.
 
 All steps are DataFrame operations. Defined results: a null text has no lines; lines without a word are never removed; rows that
 repeat doc_id and text are treated alike; null doc_ids (and those that are no whole number) come first; other columns are
@@ -42,14 +42,20 @@ BROADCAST_ROWS = 1_000_000
 PLACE = ("doc_id", "row", "line_no")
 
 
+def _small(x: Column) -> Column:
+    """A-Z in lower case; a string with other than ASCII characters becomes one that stands for it alone."""
+    # byte by byte, lower() also maps the lead bytes C3 to DE of two-byte characters, to bytes that lead longer ones only
+    return F.when(F.octet_length(x) == F.char_length(x), F.lower(x)).otherwise(F.lower(F.decode(x.cast("binary"), "ISO-8859-1")))
+
+
 def _hashed(lines: DataFrame, width: int) -> DataFrame:
     """``line`` replaced by the hashes of its tokens; each line has a word."""
     line, rest = F.col("line"), [c for c in lines.columns if c != "line"]
-    # lower() is the cheap form of translate() where all bytes are ASCII
-    small = F.when(F.octet_length(line) == F.char_length(line), F.lower(line)).otherwise(F.translate(line, string.ascii_uppercase, string.ascii_lowercase))
-    lines = lines.select(*rest, F.array_remove(F.split(small, SPACES), "").alias("words"))
+    lines = lines.withColumn("line", _small(line))
     if width == 1:
-        return lines.select(*rest, F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+        words = F.when(line.rlike(r"[\x09-\x0D]"), F.split(line, SPACES)).otherwise(F.split(line, " "))  # one plain character is not searched as a pattern
+        return lines.select(*rest, words.alias("words")).select(*rest, F.array_remove(F.transform("words", lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))).alias("hashes"))
+    lines = lines.select(*rest, F.array_remove(F.split(line, SPACES), "").alias("words"))
     lines = lines.withColumn("full", F.size("words") - width + 1)
     windows = F.transform(F.sequence(F.lit(0), F.greatest("full", F.lit(1)) - 1), lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(width)]))  # slice() copies the whole array
     return lines.select(*rest, F.when(F.col("full") > 0, windows).otherwise(F.array(F.xxhash64("words"))).alias("hashes"))
@@ -76,7 +82,12 @@ def _prefix_length(n: Column, threshold: int) -> Column:
 
 def rarity(docs: DataFrame, width: int) -> bytes:
     """The level of each slot, from 1: how often its tokens occur, in halves of a doubling. ``SLOTS`` rows reach the driver at most."""
-    slots = _hashed(_lines(docs).select("line"), width).select(F.explode("hashes").alias("h")).select(F.col("h").bitwiseAND(F.lit(SLOTS - 1)).alias("slot"))
+    if width == 1:  # the words need not be told apart by lines, and plain rows are hashed faster than arrays
+        words = docs.select(F.explode(F.split(F.col("text").cast("string"), SPACES)).alias("word")).where("word <> ''")
+        hashes = words.select(F.xxhash64(_small(F.col("word"))).alias("h"))
+    else:
+        hashes = _hashed(_lines(docs).select("line"), width).select(F.explode("hashes").alias("h"))
+    slots = hashes.select(F.col("h").bitwiseAND(F.lit(SLOTS - 1)).alias("slot"))
     found = slots.groupBy("slot").agg(F.count("*").alias("n")).toArrow()
     levels = np.ones(SLOTS, np.uint8)
     if found.num_rows:
@@ -108,27 +119,39 @@ def _few(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
-def _allowed(threshold: int) -> Column:
-    """Length filter, positional filter and signs of a posting and another one (with names in _b)."""
-    both = F.col("n") + F.col("n_b")
+def _near_size(threshold: int) -> Column:
+    """Length filter and signs of a class and another one (with names in _b)."""
     length = 100 * F.least("n", "n_b") >= threshold * F.greatest("n", "n_b")
-    room = (1 + F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b"))) * (100 + threshold) >= threshold * both
-    return length & room & (F.bit_count(F.col("sign").bitwiseXOR(F.col("sign_b"))) * (100 + threshold) <= (100 - threshold) * both)
+    return length & (F.bit_count(F.col("sign").bitwiseXOR(F.col("sign_b"))) * (100 + threshold) <= (100 - threshold) * (F.col("n") + F.col("n_b")))
+
+
+def _allowed(threshold: int) -> Column:
+    """The filters of classes and the positional filter of a posting and another one."""
+    room = (1 + F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b"))) * (100 + threshold) >= threshold * (F.col("n") + F.col("n_b"))
+    return _near_size(threshold) & room
 
 
 def _postings(sets: DataFrame) -> DataFrame:
-    return sets.select("sid", F.col("n").cast("long").alias("n"), "sign", F.size("prefix").alias("cut"), F.posexplode("prefix").alias("at", "code"), "open").select("code", "sid", "n", (F.col("at") + 1).alias("pos"), "sign", "cut", "open")
+    return sets.select("sid", F.col("n").cast("long").alias("n"), "sign", F.posexplode("prefix").alias("at", "code"), "open").select("code", "sid", "n", (F.col("at") + 1).alias("pos"), "sign", "open")
 
 
 POSTED = ("sid", "n", "pos", "sign")
 
 
 def _lead_pairs(sets: DataFrame, threshold: int) -> DataFrame:
-    """Candidates (a, b): each class with the earliest one of each of its last prefix codes."""
-    posted = _postings(sets).where(F.col("pos") > F.col("cut") - LEADS).select("code", *POSTED)
-    lead = F.first(F.struct(*POSTED)).over(Window.partitionBy("code").orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    pairs = posted.withColumn("l", lead).select(*POSTED, *[F.col(f"l.{c}").alias(f"{c}_b") for c in POSTED])
-    return pairs.where((F.col("sid") > F.col("sid_b")) & _allowed(threshold)).select(F.col("sid").alias("a"), F.col("sid_b").alias("b")).distinct()
+    """Candidates (a, b): each class with the earliest and the last earlier one of each of its lead keys.
+
+    A key is two neighbouring codes of the prefix, which unlike lines seldom share. Of those in its second half, where the tokens
+    that only one copy has are few, the ``LEADS`` smallest hashes are taken: mostly the same ones in near copies.
+    """
+    size, at = F.size("prefix"), lambda i: F.get("prefix", i)
+    keys = F.transform(F.sequence(F.floor((size - 1) / 2).cast("int"), F.greatest(size - 2, F.lit(0))), lambda i: F.xxhash64(at(i), at(i + 1)))
+    facts = ("sid", "n", "sign")
+    posted = sets.select("sid", F.col("n").cast("long").alias("n"), "sign", F.explode(F.slice(F.sort_array(F.array_distinct(keys)), 1, LEADS)).alias("key"))
+    order = Window.partitionBy("key").orderBy("sid")
+    leads = F.array(F.first(F.struct(*facts)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lag(F.struct(*facts)).over(order))
+    pairs = posted.withColumn("leads", leads).select(*facts, F.explode("leads").alias("l")).select(*facts, *[F.col(f"l.{c}").alias(f"{c}_b") for c in facts])
+    return pairs.where((F.col("sid") > F.col("sid_b")) & _near_size(threshold)).select(F.col("sid").alias("a"), F.col("sid_b").alias("b")).distinct()
 
 
 def _all_pairs(sets: DataFrame, threshold: int) -> DataFrame:
@@ -143,7 +166,10 @@ def _all_pairs(sets: DataFrame, threshold: int) -> DataFrame:
 def _token_sets(docs: DataFrame, sets: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """id, tokens of the wanted classes, from their first lines."""
     wanted = stash(sets.select(F.col("sid").alias("id"), F.col("first.doc_id").alias("own"), F.col("first.row").alias("row"), F.col("first.line_no").alias("line_no")).join(ids.distinct(), "id"), "wanted-lines")
-    found = _lines(docs).join(_few(wanted, wanted.count()), ["row", "line_no"]).where(F.col("doc_id").eqNullSafe(F.col("own"))).select("id", "line")
+    n = wanted.count()
+    if n <= BROADCAST_ROWS:  # only rows with a wanted line are cut into lines
+        docs = docs.join(F.broadcast(wanted.select("row").distinct()), row_key() == F.col("row"), "left_semi")
+    found = _lines(docs).join(_few(wanted, n), ["row", "line_no"]).where(F.col("doc_id").eqNullSafe(F.col("own"))).select("id", "line")
     return stash(token_sets(found, width).dropDuplicates(["id"]), "line-tokens")
 
 

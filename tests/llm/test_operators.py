@@ -252,6 +252,34 @@ def test_all_links_of_lines(spark):
     assert got == {(d, n): (*first[s], links[s]) for d, n, s in lines}
 
 
+def test_leads_of_near_copies(spark):
+    """Near copies among lines that share single words with them find an earlier one by their leads: few go on to all others."""
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(150)]
+    data = [(k, " ".join(rng.sample(words, 40))) for k in range(200)]
+    base = rng.sample(words, 40)
+    for k in range(100):
+        w = list(base)
+        w[rng.randrange(40)] = f"x{k}"
+        data.append((200 + k, " ".join(w)))
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    sets = linedup.classes(frame, 80, 1).withColumn("open", F.lit(True))
+    found = linedup._verified(linedup._lead_pairs(sets, 80), frame, sets, 80, 1).select("a").distinct().count()
+    assert 95 <= found <= 99
+
+
+def test_words_of_other_alphabets(spark):
+    """Only A-Z are alike in both cases, and words that differ in one character are not one token."""
+    points = [c for c in (*range(0x21, 0x250), *range(0x390, 0x460), 0x1E00, 0x1E9E, 0x2126, 0x212A, 0x24B6, 0xA722, 0xFF21, 0xFF41, 0x10400, 0x10428, 0x1F600) if not 0x7F <= c < 0xA1]
+    frame = spark.createDataFrame([(chr(c), f"\t{chr(c)}É  {chr(c)}É\r") for c in points], "c string, line string")
+    got = {r.c: tuple(r.tokens) for r in linedup.token_sets(frame, 1).collect()}
+    assert all(len(t) == 1 for t in got.values())
+    alike = defaultdict(set)
+    for c, t in got.items():
+        alike[t].add(c)
+    assert sorted("".join(sorted(x)) for x in alike.values() if len(x) > 1) == [a + a.lower() for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+
+
 def test_mix_reaches_targets(docs):
     got = mixing.mix(docs)
     rs = got.collect()
