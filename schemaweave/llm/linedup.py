@@ -24,10 +24,10 @@ ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import string
+import gc
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .exact import SPACES, row_key, whole_id
@@ -38,6 +38,8 @@ SLOTS = 1 << 18
 LEVELS, CODE_BITS = 32, 27
 LEADS = 3
 SIGNS = 4
+SHORT = 96  # lines of up to so many tokens do without the further signs in their postings
+LONG_SIGNS = tuple(f"sign{k}" for k in range(SIGNS))
 BROADCAST_ROWS = 1_000_000
 PLACE = ("doc_id", "row", "line_no")
 
@@ -109,33 +111,45 @@ def classes(docs: DataFrame, threshold: int, width: int = WIDTH) -> DataFrame:
     flip = lambda sign, h: sign.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int")))
     n = F.size("tokens")
     prefix = F.slice(F.sort_array(F.transform("tokens", code)), F.lit(1), _prefix_length(n, threshold))
-    sets = _keyed(_lines(docs), width).select("k1", "k2", *PLACE, n.alias("n"), prefix.alias("prefix"), F.aggregate("tokens", F.lit(0).cast("long"), flip).alias("sign"))
+    more = [F.when(n > SHORT, _sign(k)).otherwise(0).alias(f"sign{k}") for k in range(SIGNS)]
+    sets = _keyed(_lines(docs), width).select("k1", "k2", *PLACE, n.alias("n"), prefix.alias("prefix"), F.aggregate("tokens", F.lit(0).cast("long"), flip).alias("sign"), *more)
     place = F.struct(*PLACE)
-    firsts = sets.groupBy("k1", "k2").agg(F.min_by(F.struct(place.alias("first"), "n", "prefix", "sign"), place).alias("x")).select("k1", "k2", "x.*")
+    firsts = sets.groupBy("k1", "k2").agg(F.min_by(F.struct(place.alias("first"), "n", "prefix", "sign", *LONG_SIGNS), place).alias("x")).select("k1", "k2", "x.*")
     return stash(firsts.orderBy("first").withColumn("sid", F.monotonically_increasing_id()), "line-classes")
 
 
+def _drop_shuffles(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of queries that are done once the driver has collected its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _few(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
-def _near_size(threshold: int) -> Column:
-    """Length filter and signs of a class and another one (with names in _b)."""
-    length = 100 * F.least("n", "n_b") >= threshold * F.greatest("n", "n_b")
-    return length & (F.bit_count(F.col("sign").bitwiseXOR(F.col("sign_b"))) * (100 + threshold) <= (100 - threshold) * (F.col("n") + F.col("n_b")))
+def _near_size(threshold: int, a: str = "_a") -> Column:
+    """Length filter and signs of a class (with ``a`` in names) and another one (with _b)."""
+    n, m, sign = F.col(f"n{a}"), F.col("n_b"), F.col(f"sign{a}")
+    return (100 * F.least(n, m) >= threshold * F.greatest(n, m)) & (F.bit_count(sign.bitwiseXOR(F.col("sign_b"))) * (100 + threshold) <= (100 - threshold) * (n + m))
 
 
 def _allowed(threshold: int) -> Column:
-    """The filters of classes and the positional filter of a posting and another one."""
-    room = (1 + F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b"))) * (100 + threshold) >= threshold * (F.col("n") + F.col("n_b"))
-    return _near_size(threshold) & room
+    """The filters of classes, the positional filter and, of long lines, the further signs of two postings (with _a and _b in names)."""
+    n, m = F.col("n_a"), F.col("n_b")
+    room = (1 + F.least(n - F.abs("pos_a"), m - F.abs("pos_b"))) * (100 + threshold) >= threshold * (n + m)
+    flipped = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in LONG_SIGNS), F.lit(0))
+    near = (F.least(n, m) <= SHORT) | (flipped * (100 + threshold) <= (100 - threshold) * (n + m))
+    return _near_size(threshold) & room & near
 
 
 def _postings(sets: DataFrame) -> DataFrame:
-    return sets.select("sid", F.col("n").cast("long").alias("n"), "sign", F.posexplode("prefix").alias("at", "code"), "open").select("code", "sid", "n", (F.col("at") + 1).alias("pos"), "sign", "open")
+    """code, sid, n, pos (from 1; below 0 for a class that is not open) and signs of each prefix token."""
+    posted = sets.select("sid", F.col("n").cast("long").alias("n"), "sign", *LONG_SIGNS, "open", F.posexplode("prefix").alias("at", "code"))
+    return posted.withColumn("pos", F.when(F.col("open"), F.col("at") + 1).otherwise(-1 - F.col("at"))).select("code", *POSTED)
 
 
-POSTED = ("sid", "n", "pos", "sign")
+POSTED = ("sid", "n", "pos", "sign", *LONG_SIGNS)
 
 
 def _lead_pairs(sets: DataFrame, threshold: int) -> DataFrame:
@@ -151,16 +165,17 @@ def _lead_pairs(sets: DataFrame, threshold: int) -> DataFrame:
     order = Window.partitionBy("key").orderBy("sid")
     leads = F.array(F.first(F.struct(*facts)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lag(F.struct(*facts)).over(order))
     pairs = posted.withColumn("leads", leads).select(*facts, F.explode("leads").alias("l")).select(*facts, *[F.col(f"l.{c}").alias(f"{c}_b") for c in facts])
-    return pairs.where((F.col("sid") > F.col("sid_b")) & _near_size(threshold)).select(F.col("sid").alias("a"), F.col("sid_b").alias("b")).distinct()
+    return pairs.where((F.col("sid") > F.col("sid_b")) & _near_size(threshold, "")).select(F.col("sid").alias("a"), F.col("sid_b").alias("b")).distinct()
 
 
 def _all_pairs(sets: DataFrame, threshold: int) -> DataFrame:
     """Candidates (a, b): each open class with all earlier ones of its prefix codes. Both sides read one exchange."""
-    # the condition on "open" names both sides, else it would be pushed below one exchange and make it another
-    posted = _postings(sets).select("code", "sid", "n", "pos", "sign", "open")
-    other = posted.select(F.col("code").alias("code_b"), *[F.col(c).alias(f"{c}_b") for c in (*POSTED, "open")])
-    pairs = posted.join(other.hint("merge"), (F.col("code") == F.col("code_b")) & (F.when(F.col("open"), F.col("sid")).otherwise(-1) > F.col("sid_b")) & _allowed(threshold))
-    return pairs.select(F.col("sid").alias("a"), F.col("sid_b").alias("b")).distinct()
+    # one exchange serves both sides only if these rename, use and filter the same columns: the condition on open classes names
+    # both sides, and the one on sid keeps nulls from either
+    left, right = (_postings(sets).select(*[F.col(c).alias(f"{c}_{x}") for c in ("code", *POSTED)]) for x in "ab")
+    earlier = (F.col("sid_a") > F.col("sid_b")) & (F.when(F.col("pos_a") > 0, F.col("sid_a")).otherwise(-1) > F.col("sid_b"))
+    pairs = left.join(right.hint("merge"), (F.col("code_a") == F.col("code_b")) & earlier & _allowed(threshold))
+    return pairs.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).distinct()
 
 
 def _token_sets(docs: DataFrame, sets: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -203,8 +218,9 @@ def near_matches(sets: DataFrame, docs: DataFrame, threshold: int, width: int) -
     sets = sets.withColumn("open", F.lit(True))
     found = _verified(_lead_pairs(sets, threshold), docs, sets, threshold, width).select(F.col("a").alias("sid")).distinct()
     matched = found.withColumn("matched", F.lit(True))
-    left = sets.drop("open").join(_few(matched, matched.count()), "sid", "left").withColumn("open", F.col("matched").isNull()).drop("matched")
-    return found.unionByName(_verified(_all_pairs(left, threshold), docs, sets, threshold, width).select(F.col("a").alias("sid")).distinct())
+    left = sets.select("sid", "n", "prefix", "sign", *LONG_SIGNS).join(_few(matched, matched.count()), "sid", "left").withColumn("open", F.col("matched").isNull()).drop("matched")
+    pairs = _all_pairs(stash(left, "open-classes"), threshold)  # over a plain table both sides of the join read one exchange
+    return found.unionByName(_verified(pairs, docs, sets, threshold, width).select(F.col("a").alias("sid")).distinct())
 
 
 def linked_lines(docs: DataFrame, threshold: int = 80, width: int = WIDTH) -> DataFrame:
@@ -227,6 +243,7 @@ def _members(docs: DataFrame, known: DataFrame, width: int) -> DataFrame:
 def _marked(docs: DataFrame, threshold: int, width: int) -> DataFrame:
     """k1, k2, first, near of each class."""
     sets = classes(docs, threshold, width)
+    _drop_shuffles(docs.sparkSession)
     near = near_matches(sets, docs, threshold, width).withColumn("near", F.lit(True))
     return sets.select("k1", "k2", "sid", "first").join(near, "sid", "left").select("k1", "k2", "first", F.coalesce("near", F.lit(False)).alias("near"))
 
